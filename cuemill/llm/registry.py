@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["problem8", "problem9"]
+MODULES = ["problem4", "problem8", "problem9"]
 
 QUERIES: dict = {}
 SQL: dict = {}
