@@ -24,10 +24,14 @@ from cuemill.session import shared_dir
 
 #: Event time of the marker rows that close a replay.
 FAR = "9000-01-01 00:00:00"
+#: A stream's first watermark is 1970, and what isn't after it is late: a replay's times are moved by this many microseconds (about 1000 years).
+SHIFT = 31_556_952_000_000_000
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
 }
 
 
@@ -78,13 +82,14 @@ def _closed(stream: DataFrame, base: str, side: str) -> DataFrame:
         is_text = isinstance(f.dataType, T.StringType)
         far.append((F.lit(FAR).cast("timestamp") if f.name == "at" else F.lit(f"\0{side}") if is_text else F.lit(-1).cast(f.dataType)).alias(f.name))
     spark.range(1).select(*far).coalesce(1).write.parquet(f"{base}/{side}")
-    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{base}/{side}"))
+    moved = stream.withColumn("at", F.timestamp_micros(F.unix_micros("at") + SHIFT))
+    return moved.unionByName(spark.readStream.schema(stream.schema).parquet(f"{base}/{side}"))
 
 
 def replay(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: str, tolerance_ms: int, outer: bool = False) -> DataFrame:
     """Runs nearest_in_time over all that the two streams hold now and returns the written answers as a table.
 
-    Cases as nearest_in_time; nothing is late. Empty inputs give an empty table.
+    Cases as nearest_in_time; nothing is late, with times from the year 1000 to 7000. Empty inputs give an empty table.
     """
     spark = left.sparkSession
     base = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex[:12]}"
