@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def fold_title(text: str | None) -> str | None:
@@ -17,6 +18,6 @@ def fold_title(text: str | None) -> str | None:
     return " ".join(re.findall(r"[0-9a-z]+", plain))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_title(texts: pd.Series) -> pd.Series:
     return texts.map(fold_title, na_action="ignore")
