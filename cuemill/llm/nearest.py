@@ -4,8 +4,8 @@ Both sides are streams with an event time. Spark buffers them in state per entit
 condition on the two event times bounds how long a row can still find partners, so a candidate is evicted and a
 left row without one is emitted (left outer) once the watermark has passed its tolerance horizon. An aggregation
 behind the join keeps the nearest candidate of each left row and emits it when the watermark has passed the
-row's time. Buckets are as wide as the tolerance on both sides; a left row looks into the at most two buckets
-its horizon touches, so entities of any size spread over many keys, and right rows aren't copied.
+row's time. Buckets are several tolerances wide; a left row looks into the one or two buckets its horizon
+touches, so entities of any size spread over many keys, few left rows and no right rows are copied.
 
 `replay` runs the join over bounded tables: everything available is read, then a marker row far in the future
 moves the watermark past all rows, so every row is answered and none is late.
@@ -26,6 +26,8 @@ from cuemill.session import shared_dir
 FAR = "9000-01-01 00:00:00"
 #: A stream's first watermark is 1970, and what isn't after it is late: a replay's times are moved by this many microseconds (about 1000 years).
 SHIFT = 31_556_952_000_000_000
+#: Width of a bucket in tolerances, 2 at least. Of the left rows, 2 in so many look into two buckets.
+BUCKET_TOLERANCES = 8
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -38,17 +40,17 @@ ROCKS = {
 def nearest_in_time(
     left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: str, tolerance_ms: int, lateness: str = "0 seconds", outer: bool = False
 ) -> DataFrame:
-    """left_id columns, right_id and distance_us of the nearest right row in time; streaming in, streaming out.
+    """keys, left_id columns, right_id and distance_us of the nearest right row in time; streaming in, streaming out.
 
     left: keys, left_id columns and `at` TIMESTAMP; right: keys, right_id and `at`. Keys are never null. A distance
     of exactly the tolerance counts. Of equally near rows the one with the smallest right_id is taken. A left or
     right row that is repeated gives one answer. With outer, a left row without a partner comes with nulls.
     Rows later than `lateness` behind the newest may be lost, as in every watermarked stream.
     """
-    width = 2 * tolerance_ms * 1000
+    width = BUCKET_TOLERANCES * tolerance_ms * 1000
     micros = F.unix_micros("at")
     low, high = F.floor((micros - tolerance_ms * 1000) / width), F.floor((micros + tolerance_ms * 1000) / width)
-    a = left.select(*[F.col(k).alias(f"l_{k}") for k in keys], F.struct(*left_id).alias("l_id"), "at", F.explode(F.array_distinct(F.array(low, high))).alias("l_bucket"))
+    a = left.select(*[F.col(k).alias(f"l_{k}") for k in keys], *[F.col(c).alias(f"i_{c}") for c in left_id], "at", F.explode(F.array_distinct(F.array(low, high))).alias("l_bucket"))
     a = a.withColumnRenamed("at", "l_at").withWatermark("l_at", lateness)
     b = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col(right_id).alias("r_id"), F.col("at").alias("r_at"), F.floor(micros / width).alias("r_bucket"))
     b = b.withWatermark("r_at", lateness)
@@ -58,8 +60,8 @@ def nearest_in_time(
         on = on & (F.col(f"l_{k}") == F.col(f"r_{k}"))
     found = a.join(b, on, "leftOuter" if outer else "inner")
     far = F.abs(F.unix_micros("r_at") - F.unix_micros("l_at"))
-    best = found.groupBy("l_at", "l_id").agg(F.min(F.when(F.col("r_id").isNotNull(), F.struct(far.alias("d"), F.col("r_id").alias("r")))).alias("best"))
-    return best.select("l_id.*", F.col("best.r").alias(right_id), F.col("best.d").alias("distance_us"))
+    best = found.groupBy("l_at", *[f"l_{k}" for k in keys], *[f"i_{c}" for c in left_id]).agg(F.min(F.when(F.col("r_id").isNotNull(), F.struct(far.alias("d"), F.col("r_id").alias("r")))).alias("best"))
+    return best.select(*[F.col(f"l_{k}").alias(k) for k in keys], *[F.col(f"i_{c}").alias(c) for c in left_id], F.col("best.r").alias(right_id), F.col("best.d").alias("distance_us"))
 
 
 @contextmanager

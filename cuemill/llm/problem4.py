@@ -24,7 +24,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = cues.select("job_id", "speaker_id", "cue_id", F.timestamp_micros(middle).alias("at"))
     seen = _stream(spark, sf_dir, "face_sightings").where(f"{_GOOD.format('at_s')} and speaker_id > 0 and job_id is not null and sighting_id is not null")
     seen = seen.select("job_id", "speaker_id", "sighting_id", F.timestamp_millis(F.round(F.col("at_s") * 1000).cast("bigint")).alias("at"))
-    got = nearest.replay(cues, seen, ["job_id", "speaker_id"], ["job_id", "cue_id"], "sighting_id", TOLERANCE_MS)
+    got = nearest.replay(cues, seen, ["job_id", "speaker_id"], ["cue_id"], "sighting_id", TOLERANCE_MS)
     return got.select("job_id", "cue_id", "sighting_id")
 
 
