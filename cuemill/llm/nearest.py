@@ -27,13 +27,15 @@ FAR = "9000-01-01 00:00:00"
 #: A stream's first watermark is 1970, and what isn't after it is late: a replay's times are moved by this many microseconds (about 1000 years).
 SHIFT = 31_556_952_000_000_000
 #: Width of a bucket in tolerances, 2 at least. Of the left rows, 2 in so many look into two buckets.
-BUCKET_TOLERANCES = 8
+BUCKET_TOLERANCES = 16
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.join.stateFormatVersion": "3",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+    "spark.sql.streaming.stateStore.compression.codec": "zstd",
 }
 
 
