@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["problem2", "problem3", "problem4", "problem5", "problem6", "problem7", "problem8", "problem9"]
+MODULES = [f"problem{n}" for n in range(2, 11)]
 
 QUERIES: dict = {}
 SQL: dict = {}
