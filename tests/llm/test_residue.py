@@ -13,7 +13,7 @@ HOLD_NOT = [
     None, "", " \n", "The template engine replaces {{speaker}} with the character's name; all 12 letters of this batch were filled correctly.", "If the library answers with 404 Not Found, check the identifier; the service itself is fine.",
     "In episode 14 the hacker shouts 'please enable JavaScript' and the whole cinema laughed.", "To use the web player, your browser must allow scripts; the help desk gets this question every week, and here is how we answer it.", "{\\an8}In 22 days all of this will belong to us.",
     "{120}{180}text", "<i>Give me the window.</i>", "The poster still said lorem ipsum in the corner.", "Dentro de 36 días todo esto será nuestro.", "TODO ESTO SERÁ NUESTRO", "Nunca debiste haber estado aquí esta noche.", "ⅩⅣ ⅩⅣ", "snake_case_name", "The actor speaks faster than the German script allows.",
-    "We fixed the bug that printed undefined instead of the season number; the catalogue was regenerated afterwards.", "Access denied is what the guard says twice; keep it short in Spanish.", "word " * 50_000,
+    "We fixed the bug that printed undefined instead of the season number; the catalogue was regenerated afterwards.", "Access denied is what the guard says twice; keep it short in Spanish.", "a word in the text. " * 20_000,
 ]
 
 
@@ -22,14 +22,14 @@ def test_held(kind, text):
     assert r.judge(text, COMMON)[0] == kind
 
 
-@pytest.mark.parametrize("text", HOLD_NOT[:-1])
+@pytest.mark.parametrize("text", HOLD_NOT)
 def test_not_held(text):
     assert r.judge(text, COMMON)[0] is None
 
 
 def test_hosts_decide_weak_evidence(spark):
     rows = [(i, "Our server took a break.", f"s{i % 3}") for i in range(6)] + [(10, "Our browser is old. It was a nice day in the park.", "s0"), (11, "Our browser is old. And the rest is text.", "s1"), (12, "Our browser is old. More.", None)]
-    rows += [(20, "Dear {{x}},", None), (20, "Dear {{x}},", None), (21, None, "s"), (22, "", "s"), (23, "word " * 50_000, "s")]
+    rows += [(20, "Dear {{x}},", None), (20, "Dear {{x}},", None), (21, None, "s"), (22, "", "s"), (23, "one word in the text. " * 20_000, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("source", "host")
     common = r.common_words(df, "text", 0.3)
     assert "our" in common and "park" not in common
