@@ -58,6 +58,13 @@ _WEAK = re.compile(
     r"\b(?:error|failed|failure|denied|unavailable|not found|timed? ?out|timeout|expired|blocked|refused|forbidden|gateway|server|exception|browser|reload|refresh|maintenance|permission|deleted|cookies|introuvable|indisponible|fehler|erreur|errore|erro|ошибк\w*|сервер\w*|placeholder|dummy|javascript|scripts|scripting|retry|unable|persists|nginx)\b|エラー|見つかりません",
     re.I,
 )
+#: What every message, notice, placeholder or weak sign holds at least (lower case); texts without are only looked at for filler.
+HINTS = (
+    "{ } [ ] < > $ @ % # ＜ 【 _ ( xxxx tbd undefined null nan none n/a ??? error erreur fehler erro ошибк エラー exception unexpected upstream cannot session denied permission region maintenance server went blocked failed invalid connect "
+    "seite geladen introuvable indisponible podido pagina página страниц ページ placeholder copy text текст dummy segnaposto später ダミー サンプル 仮の ここに lorem script unauthorized forbidden gateway unavailable timeout expired refused browser reload refresh "
+    "deleted cookies unable retry persists nginx http javascript"
+).split() + ["could not", "sign in", "the page", "was deleted", "write something", "active content", "client-side code", "bad request", "not found", "too many", "timed out"]
+_CODE = re.compile(r"\b[45]\d\d\b")
 _BREAK = re.compile(r"\n+|(?<=[.!?…])[\"”»’]?\s+|(?<=[。！？])")
 _SPEAKER = re.compile(r"^(?:\w[\w .-]{0,24}: |[-•*>]\s+|\d+[.)] )")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]+")
@@ -86,17 +93,23 @@ def _slots(sentence: str, line_start: bool) -> bool:
 
 
 def _filler(sentence: str, common: set[str]) -> bool:
-    words = re.findall(r"\w+", sentence.casefold())
-    letters = [w for w in words if w.isalpha()]
-    if len(words) >= 4 and letters and len(letters) >= len(words) - 1:
-        kinds = len(set(letters))
-        if kinds <= 2 and len(words) >= 2 * kinds + 1 and max(map(len, letters)) <= 8:
-            return True
+    first = sentence.split()
+    if len(first) < 4:
+        return False
+    if len(set(first)) * 2 < len(first) or len(set(first)) <= 3:
+        words = re.findall(r"\w+", sentence.casefold())
+        letters = [w for w in words if w.isalpha()]
+        if len(words) >= 4 and letters and len(letters) >= len(words) - 1:
+            kinds = len(set(letters))
+            if kinds <= 2 and len(words) >= 2 * kinds + 1 and max(map(len, letters)) <= 8:
+                return True
+    # Words of three letters, accents and common words are left to languages.
+    if len(first) < 5 or not sentence.isascii() or not sentence[0].isupper() or sentence[-1] != "." or any(len(w) <= 3 or w.lower() in common for w in first):
+        return False
     latin = _LATIN.findall(sentence)
-    if len(latin) >= 5 and sentence[:1].isupper() and sentence.rstrip().endswith(".") and not re.search(r"[^\sA-Za-zÀ-ɏ.,;]", sentence):
-        # Words of three letters and accents are left to languages.
-        return sentence.isascii() and sum(w[:1].isupper() for w in latin) == 1 and not any(len(w) <= 3 or w.casefold() in common for w in latin)
-    return False
+    if re.search(r"[^\sA-Za-z.,;]", sentence) or len(latin) < 5:
+        return False
+    return sum(w[0].isupper() for w in latin) == 1 and not any(len(w) <= 3 or w.lower() in common for w in latin)
 
 
 def judge(text: str | None, common: set[str]) -> tuple[str | None, list[str], int]:
@@ -104,6 +117,9 @@ def judge(text: str | None, common: set[str]) -> tuple[str | None, list[str], in
     if not text or not text.strip():
         return None, [], 0
     weak, n, at = [], 0, 0
+    folded = text.lower()
+    hints = [h for h in HINTS if h in folded]
+    coded = _CODE.search(text) is not None
     pieces = []
     for m in _BREAK.finditer(text):
         pieces.append((text[at : m.start()], at == 0 or text[at - 1] == "\n"))
@@ -114,6 +130,11 @@ def judge(text: str | None, common: set[str]) -> tuple[str | None, list[str], in
         if not s:
             continue
         n += 1
+        lower = s.lower()
+        if not any(h in lower for h in hints) and not (coded and _CODE.search(s)):
+            if _filler(_SPEAKER.sub("", s), common):
+                return "filler", [], n
+            continue
         bare = _SPEAKER.sub("", s) if not re.match(r"^(?:error|erreur|fehler|errore|erro|noscript|traceback|\w*error)\b|^\d", s, re.I) else s
         if ("{" in s or "[" in s or "<" in s or "$" in s or "_" in s or "@" in s or "%" in s or "＜" in s or "(" in s or "#" in s or re.search(r"tbd|todo|xxxx|undefined|null|nan\b|none|n/a|\?\?\?", s, re.I)) and _slots(s, line_start):
             return "placeholder", [], n
