@@ -31,11 +31,15 @@ MODEL_WORDS = 100_000
 #: A reading must be this much cheaper (natural logarithm) than the text as it stands.
 MARGIN = 4.0
 ROUNDS = 4
+#: Words that cost more than this don't speak for a text's being whole.
+RARE = 10.5
 LOST = "�"
 #: Marks that are ordinary in text of any language (fixed values).
 MARKS = set("“”„‚‘’…—–«»¿¡♪、。？！「」『』・ー·  　​﻿")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
+_CJKS = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]+")
+_PLAIN = re.compile(r"[\x00-\x7f]|[^\W\d_]")
 _C1 = re.compile(r"[\x80-\x9f]")
 
 
@@ -77,7 +81,7 @@ def sequence_pattern(encoding: str) -> re.Pattern:
 @lru_cache(None)
 def trigger() -> re.Pattern:
     parts = [sequence_pattern(e).pattern for e in UTF8_READ_AS]
-    return re.compile("|".join([*parts, r"[\x80-\x9f�]", r"[À-ÿ]{2}", r"[¤¥][¡-ÿ]", "[─-╿]", "[√∂∑∏π∫Ωª◊]"]))
+    return re.compile("|".join([*parts, r"[\x80-\x9f�]", r"[À-ÿ]{2}", r"[А-ЯЁ]{2}", r"[¤¥][¡-ÿ]", "[─-╿]", "[√∂∑∏π∫Ωª◊]"]))
 
 
 def _one_script(word: str) -> bool:
@@ -85,6 +89,11 @@ def _one_script(word: str) -> bool:
     return all(ord(c) < 0x180 for c in word) or all(0x400 <= ord(c) < 0x500 for c in word)
 
 
+#: What no text holds that isn't garbled or unusual: letters of other alphabets, signs, lost bytes; or two accented
+#: letters side by side, or one beside a sign. Most texts end here.
+_ODD = re.compile(r"[^\x00-\x7f“”„‚‘’…—–«»¿¡♪、。？！「」\xa0\u202f\u3000А-Яа-яЁё぀-ヿ一-鿿À-ÖØ-öø-ÿŒœŽžĆć]|[À-ÿŒœŽž‚][À-ÿŒœŽž“”„‚‘’…—–«»¿¡\xa0 ]|[А-Яа-яЁё][\xa0-\xff“”„‚‘’…—–]|[а-яё][А-ЯЁ]|[А-ЯЁ][а-яё]?[А-ЯЁ]|[À-ÿ]$")
+
+
 class Model:
     """Costs of words (negative natural logarithms of their share of the corpus)."""
 
@@ -120,14 +129,18 @@ class Model:
         return cost + 8.0 * mixed + 6.0 * greek_etc
 
     def cost(self, text: str) -> float:
-        total = 0.0
-        for m in _WORD.finditer(text):
-            total += self.known(m[0])
-        for c in _WORD.sub("", text):
-            if ord(c) > 127:
-                total += 3.0 if c in MARKS else 14.0 if c == LOST or "\x80" <= c <= "\x9f" else 9.0
+        total = sum(map(self.known, _WORD.findall(text)))
+        for c in _PLAIN.sub("", text):
+            total += 3.0 if c in MARKS else 14.0 if c == LOST or "\x80" <= c <= "\x9f" else 9.0
         return total
 
+    def unexplained(self, text: str) -> bool:
+        """Whether a text holds rare words or marks: what the corpus accounts for is read as it stands."""
+        for w in _WORD.findall(text):
+            if not w.isascii() and self.log.get(w.casefold(), 99.0) > RARE and not _CJKS.fullmatch(w):
+                return True
+        return any(c not in MARKS for c in _PLAIN.sub("", text))
+
     def _fit(self, pattern: str) -> str | None:
         """The cheapest word of the model that fits a pattern of letters and lost places."""
         low = pattern.casefold()
@@ -284,7 +297,12 @@ def _chain(now: str, cost: float, model: Model) -> tuple[str, float]:
     """Readings of several bytes a character, as often as one makes the text cheaper: it may have been misread twice."""
     for _ in range(ROUNDS):
         before = now
-        now, cost = _step(now, cost, [*UTF8_READ_AS, *MULTI], lambda t, w: _read_utf8(t, w) if isinstance(w, str) else _read_multi(t, *w), model, 0.5)
+        ways = [e for e in UTF8_READ_AS if sequence_pattern(e).search(now)]
+        if sum(1 for c in now if ord(c) > 127) >= 4 and model.unexplained(now):
+            ways += MULTI
+        if not ways:
+            break
+        now, cost = _step(now, cost, ways, lambda t, w: _read_utf8(t, w) if isinstance(w, str) else _read_multi(t, *w), model, 0.5)
         if now == before:
             break
     return now, cost
@@ -292,14 +310,15 @@ def _chain(now: str, cost: float, model: Model) -> tuple[str, float]:
 
 def restore(text: str | None, model: Model) -> tuple[bool, str | None, bool]:
     """Whether a text was garbled, the text as far as it can be restored, and whether nothing is left lost."""
-    if not text or text.isascii() or not trigger().search(text):
+    if not text or text.isascii() or not _ODD.search(text) or not trigger().search(text):
         return False, text, True
     start = model.cost(text)
-    one = _step(text, start, SINGLE, lambda t, pair: _read_single(t, *pair, model), model, 2.0)
     paths = [_chain(text, start, model)]
-    paths.append(_step(*paths[0], SINGLE, lambda t, pair: _read_single(t, *pair, model), model, 2.0))
-    if one[0] != text:
-        paths.append(_chain(*one, model))
+    if model.unexplained(text):  # else no reading of whole words can be cheaper
+        one = _step(text, start, SINGLE, lambda t, pair: _read_single(t, *pair, model), model, 2.0)
+        paths.append(_step(*paths[0], SINGLE, lambda t, pair: _read_single(t, *pair, model), model, 2.0))
+        if one[0] != text:
+            paths.append(_chain(*one, model))
     now, cost = min(paths, key=lambda p: p[1])
     broken = LOST in now or bool(_C1.search(now))
     if LOST in now:
