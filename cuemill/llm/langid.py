@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from math import exp
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +71,11 @@ class LangModel:
 
     def __init__(self, scores: np.ndarray, bias: np.ndarray, temperature: float, cut: float = REJECT):
         self.scores, self.bias, self.temperature, self.cut = scores, bias, temperature, cut
-        self.cache: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
+        self.bias_list = [float(b) for b in bias]
+        self.cache: dict[str, tuple[list, list, float, int, float]] = {}
 
-    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, float]:
-        """Logits, clipped log probabilities and weight of a word."""
+    def word(self, word: str) -> tuple[list, list, float, int, float]:
+        """Logits, clipped log probabilities and weight of a word; its likeliest language and that one's log probability."""
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) > 300_000:
@@ -81,32 +84,35 @@ class LangModel:
             weight = 0.8 if _CJK.search(word) else 1.0
             e = z - z.max()
             a = np.maximum(e - np.log(np.exp(e).sum()), WORST) * weight
-            got = self.cache[word] = (z, a, weight)
+            got = self.cache[word] = (z.tolist(), a.tolist(), weight, int(a.argmax()), float(a.max()))
         return got
 
     def confidence(self, rows: list[tuple], lang: int) -> float:
-        weights = np.array([r[2] for r in rows])
-        z = (np.array([r[0] for r in rows]) * weights[:, None]).sum(axis=0) / weights.sum() + self.bias
-        z = z * self.temperature * min(1.0, 0.5 + 0.1 * weights.sum())
-        e = np.exp(z - z.max())
-        return float(e[lang] / e.sum())
+        total = sum(r[2] for r in rows)
+        scale = self.temperature * min(1.0, 0.5 + 0.1 * total)
+        z = [(sum(map(mul, col, [r[2] for r in rows])) / total + b) * scale for col, b in zip(zip(*[r[0] for r in rows]), self.bias_list)]
+        top = max(z)
+        e = [exp(x - top) for x in z]
+        return e[lang] / sum(e)
 
     def stretches(self, text: str | None, label: str | None = None) -> list[tuple[str, float, int, int]]:
         """(language, confidence, first, end) of each stretch, in code points; none for a text without words or rejected."""
         found = list(_TOKEN.finditer(text or ""))
         if not found:
             return []
-        rows = [self.word(m[0].casefold()) for m in found]
-        a = np.array([r[1] for r in rows])
-        prior = np.zeros(len(LANGS))
+        know, learn = self.cache.get, self.word
+        rows = [know(w) or learn(w) for w in [m[0].casefold() for m in found]]
+        total = list(map(sum, zip(*[r[1] for r in rows])))
         if label in LANGS:
-            prior[LANGS.index(label)] = PRIOR
-        total = a.sum(axis=0) + prior
-        best = int(total.argmax())
-        if (a.max(axis=1) - a[:, best]).sum() < CHANGE[0]:
+            total[LANGS.index(label)] += PRIOR
+        best = max(range(len(LANGS)), key=total.__getitem__)
+        if sum(r[4] - r[1][best] for r in rows if r[3] != best) < CHANGE[0]:
             path = [best] * len(rows)  # no other path can be cheaper
         else:
-            path = self._path(text, found, a, prior)
+            prior = np.zeros(len(LANGS))
+            if label in LANGS:
+                prior[LANGS.index(label)] = PRIOR
+            path = self._path(text, found, np.array([r[1] for r in rows]), prior)
         runs: list[list[int]] = []
         for i, lang in enumerate(path):
             if runs and runs[-1][0] == lang:
