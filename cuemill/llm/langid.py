@@ -251,6 +251,16 @@ def sample(lines: DataFrame, text: str, label: str, bound: int = SAMPLE) -> tupl
 
 
 _MODELS: dict[int, LangModel] = {}
+
+
+def model_of(key: int, value: tuple) -> LangModel:
+    """One model a worker, which keeps the scores of the words it has seen."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = LangModel(*value)
+    return _MODELS[key]
+
+
 SEGMENTS = "array<struct<lang:string,confidence:double,first:int,end:int>>"
 _SEGMENT = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("first", pa.int32()), ("end", pa.int32())]))
 
@@ -263,15 +273,12 @@ def identify(lines: DataFrame, keep: list[str], text: str, label: str, model: La
     without words, and one whose language can't be told have no segments. Repeated rows are each judged.
     """
     shared = lines.sparkSession.sparkContext.broadcast((model.scores, model.bias, model.temperature, model.cut))  # BUCKETS x 8 numbers, 2 MB
-    key = hash((model.scores.tobytes()[:4096], model.temperature, id(shared)))
+    key = hash((model.scores.tobytes()[:4096], model.temperature, float(model.scores.sum())))
     slim = lines.select(*keep, F.col(label).alias("_label"), F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-2]) + f", segments {SEGMENTS}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = LangModel(*shared.value)
-        m, make = _MODELS[key], prepare() if prepare else (lambda t: t)
+        m, make = model_of(key, shared.value), prepare() if prepare else (lambda t: t)
         for b in batches:
             texts, labels = b.column(b.num_columns - 1).to_pylist(), b.column(b.num_columns - 2).to_pylist()
             got = [[dict(zip(("lang", "confidence", "first", "end"), s)) for s in m.stretches(make(t), lab)] for t, lab in zip(texts, labels)]
