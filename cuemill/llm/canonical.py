@@ -19,6 +19,8 @@ from pyspark.sql.types import IntegerType
 CONTENT_SHARE = 0.08
 #: Least score of an entry that is meant.
 ACCEPT = 0.80
+#: Words up to so many letters are repaired; longer ones only match themselves (a word has about n²/2 strings in reach).
+REPAIRED = 48
 #: Years between a typed and a true year at most.
 YEARS = 2
 
@@ -72,8 +74,9 @@ def _deletions(token: Column) -> Column:
 
 def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """token, word, sim, kind: all vocabulary words each distinct token may stand for. tokens: token; vocabulary: word."""
-    v = vocabulary.select("word", F.explode(_deletions(F.col("word"))).alias("part"))
-    t = tokens.select("token", F.explode(_deletions(F.col("token"))).alias("part"))
+    reach = lambda c: F.when(F.length(c) <= REPAIRED + 2, _deletions(F.col(c))).otherwise(F.array(c))
+    v = vocabulary.select("word", F.explode(reach("word")).alias("part"))
+    t = tokens.select("token", F.explode(reach("token")).alias("part"))
     near = t.join(v, "part").select("token", "word").distinct()
     longest = F.greatest(F.length("token"), F.length("word"))
     allowed = F.when(F.length("word") >= 6, 2).when(F.length("word") >= 3, 1).otherwise(0)
