@@ -46,7 +46,7 @@ def fixed_batches(spark, sf_dir):
 def decile_contour(spark, sf_dir):
     """Ten equal slices of each user's events by time, their mean value relative to the loudest slice."""
     e = table(spark, sf_dir, "events").withColumn("slice", F.ntile(10).over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    level = e.groupBy("user_id", "slice").agg(F.avg("value").alias("level"))
+    level = e.groupBy("user_id", "slice").agg(F.avg(F.round(F.col("value") * 100).cast("bigint")).alias("level"))
     return level.select("user_id", F.col("slice").cast("bigint").alias("slice"), milli(F.col("level") / F.greatest(F.max("level").over(Window.partitionBy("user_id")), F.lit(1e-9))).alias("level_milli"))
 
 
@@ -55,7 +55,7 @@ def frame_energies(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
     hour = 3_600_000_000
     frames = e.select(F.explode(F.array(F.struct(F.lit("tumbling").alias("kind"), F.floor(F.col("us") / hour).alias("frame")), F.struct(F.lit("sliding").alias("kind"), F.floor(F.col("us") / hour).alias("frame")), F.struct(F.lit("sliding").alias("kind"), (F.floor(F.col("us") / hour) - 1).alias("frame")))).alias("f"), "value")
-    return frames.groupBy("f.kind", "f.frame").agg(F.count(F.lit(1)).alias("events"), milli(F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("rms_milli"))
+    return frames.groupBy("f.kind", "f.frame").agg(F.count(F.lit(1)).alias("events"), milli(F.sqrt(F.avg(F.pow(F.round(F.col("value") * 100), F.lit(2)).cast("bigint"))) / 100).alias("rms_milli"))
 
 
 def activity_runs(spark, sf_dir):
@@ -160,9 +160,11 @@ def create_identities(spark, sf_dir):
 
 def weighted_confidence(spark, sf_dir):
     """Mean log confidence of a job weighted by length (50 ms at least), and its confidence."""
+    # Whole millionths are summed, so the order of the rows doesn't show in the result.
     x = _confident(spark, sf_dir).where("tc > 0").withColumn("w", F.greatest(F.col("l_end") - F.col("l_start"), F.lit(50)))
-    g = x.groupBy("job_id").agg((F.sum(F.log("tc") * F.col("w")) / F.sum("w")).alias("m"), F.avg(F.exp(F.least(F.lit(0.0), F.log("tc")))).alias("plain"))
-    return g.select("job_id", milli(F.exp(F.least(F.lit(0.0), F.col("m")))).alias("confidence_milli"), milli(F.col("plain")).alias("plain_milli"))
+    millionths = F.floor(F.log("tc") * 1_000_000 + 0.5).cast("bigint")
+    g = x.groupBy("job_id").agg((F.sum(millionths * F.col("w")) / (F.sum("w") * 1_000_000)).alias("m"), F.sum(F.least(F.lit(1000), milli(F.col("tc")))).alias("s"), F.count(F.lit(1)).alias("n"))
+    return g.select("job_id", milli(F.exp(F.least(F.lit(0.0), F.col("m")))).alias("confidence_milli"), F.expr("(2 * s + n) div (2 * n)").alias("plain_milli"))
 
 
 def hydrate_confidence(spark, sf_dir):
@@ -282,9 +284,9 @@ SQL = {
     "neighbour_context": f"{_WC} select job_id, cue_id, lag(english, 1, '<start>') over w as before, english, lead(english, 1, '<end>') over w as after from c window w as (partition by job_id order by l_start, cue_id)",
     "scene_context": f"{_WC} select job_id, cue_id, array_to_string(list(coalesce(english, '-')) over (partition by job_id order by l_start, cue_id rows between 3 preceding and 3 following), ' | ') as scene from c",
     "fixed_batches": f"with {sql_cues()}, b as (select *, (row_number() over (partition by job_id order by l_start, cue_id) - 1) // 12 as batch_no from c) select job_id, cast(batch_no as bigint) as batch_no, count(*) as cues, min(l_start) as start_ms, max(l_end) as end_ms from b group by job_id, batch_no",
-    "decile_contour": f"with e as (select user_id, value, ntile(10) over (partition by user_id order by ts, event_id) as slice from events), l as (select user_id, slice, avg(value) as level from e group by 1, 2) select user_id, cast(slice as bigint) as slice, {_M.format('level / greatest(max(level) over (partition by user_id), cast(1e-9 as double))')} as level_milli from l",
+    "decile_contour": f"with e as (select user_id, value, ntile(10) over (partition by user_id order by ts, event_id) as slice from events), l as (select user_id, slice, avg(cast(round(value * 100) as bigint)) as level from e group by 1, 2) select user_id, cast(slice as bigint) as slice, {_M.format('level / greatest(max(level) over (partition by user_id), cast(1e-9 as double))')} as level_milli from l",
     "frame_energies": f"""with e as (select epoch_us(ts) as us, value from events), f as (select 'tumbling' as kind, us // 3600000000 as frame, value from e union all select 'sliding', us // 3600000000, value from e union all select 'sliding', us // 3600000000 - 1, value from e)
-select kind, cast(frame as bigint) as frame, count(*) as events, {_M.format('sqrt(avg(value * value))')} as rms_milli from f group by kind, frame""",
+select kind, cast(frame as bigint) as frame, count(*) as events, {_M.format('sqrt(avg(cast(pow(round(value * 100), 2) as bigint))) / 100')} as rms_milli from f group by kind, frame""",
     "activity_runs": """with e as (select user_id, event_id, epoch_us(ts) as us from events where value >= 20), m as (select *, case when lag(us) over w is null or us - lag(us) over w > 21600000000 then 1 else 0 end as new from e window w as (partition by user_id order by us, event_id)),
 r as (select *, sum(new) over (partition by user_id order by us, event_id rows between unbounded preceding and current row) as run_no from m) select user_id, cast(run_no as bigint) as run_no, min(us) as first_us, max(us) as last_us, count(*) as events from r group by user_id, run_no""",
     "chunk_plan": """with j as (select job_id, max(cast(round(duration_s * 1000) as bigint)) as ms from jobs where job_id is not null and duration_s > 0 and not isnan(duration_s) group by 1),
@@ -310,7 +312,7 @@ w as (select *, coalesce(sum(ms) over (partition by job_id, speaker_id order by
 f as (select job_id, active_face_id, count(*) as seen, min(sighting_id) as first from q group by 1, 2 having count(*) >= 3), n as (select f.* from f left join anchors a on f.job_id = a.job_id and f.active_face_id = a.active_face_id where a.job_id is null),
 k as (select job_id, max(coalesce(speaker_id, 0)) as known from q group by 1)
 select n.job_id, active_face_id, cast(known + row_number() over (partition by n.job_id order by first) as bigint) as new_speaker_id, {_M.format("least(cast(0.86 as double), cast(0.62 as double) + cast(0.08 as double) * seen)")} as confidence_milli from n join k on n.job_id = k.job_id""",
-    "weighted_confidence": f"{_WITH}, w as (select job_id, tc, greatest(l_end - l_start, 50) as w from x where tc > 0) select job_id, {_M.format('exp(least(cast(0 as double), sum(ln(tc) * w) / sum(w)))')} as confidence_milli, {_M.format('avg(exp(least(cast(0 as double), ln(tc))))')} as plain_milli from w group by job_id",
+    "weighted_confidence": f"{_WITH}, w as (select job_id, tc, greatest(l_end - l_start, 50) as w, cast(floor(ln(tc) * 1000000 + 0.5) as bigint) as m from x where tc > 0) select job_id, {_M.format('exp(least(cast(0 as double), sum(m * w) / (sum(w) * 1000000)))')} as confidence_milli, cast((2 * sum(least(1000, {_M.format('tc')})) + count(*)) // (2 * count(*)) as bigint) as plain_milli from w group by job_id",
     "hydrate_confidence": f"{_WITH} select job_id, cue_id, {_M.format('coalesce(ac, case when tc is not null and sc is not null then (tc + sc) / 2 else coalesce(tc, sc) end)')} as alignment_milli from x",
     "eta_median_factor": f"""with j as (select distinct job_id, coalesce(media_kind, '-') as media_kind, epoch_us(created_at) as c, epoch_us(updated_at) as u, cast(round(duration_s * 1000) as bigint) as ms from jobs where job_id is not null and status = 'done' and duration_s > 0 and not isnan(duration_s)),
 f as (select *, cast(u - c as double) / (ms * 1000) as factor from j), r as (select *, row_number() over (partition by media_kind order by u desc, job_id, c, ms) as rn from f where factor between 0.2 and 2000) select media_kind, count(*) as jobs, {_M.format('median(factor)')} as factor_milli from r where rn <= 50 group by media_kind""",
