@@ -3,8 +3,10 @@
 Only distinct texts take part. Shingles are runs of five words (a shorter text is one shingle). 256 minima in 32
 bands of eight propose candidates. Within a bucket of a few distinct texts these are compared; in a larger one
 every text is compared with the bucket's smallest id, and those that are not alike are compared among themselves
-again in further rounds, so a large bucket costs its size times the number of its clusters, and never all pairs. Links of verified similarity are joined to components by passing on
-the smallest id, each round written to the shared folder.
+again in further rounds. Links of verified similarity are joined to components by passing on the smallest id, each
+round written to the shared folder. Similarity isn't transitive, so of the texts of large buckets those in different
+components are then joined exactly: texts alike share one of their rarest shingles (prefix filter). What is in one
+component already needs no comparison, so a large bucket doesn't cost all its pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ BANDS = 32
 ROWS = 8
 #: Buckets of so many distinct texts at most are compared pair by pair.
 SMALL = 64
+#: Texts with a shingle in common are joined in parts of about so many.
+SALT = 2048
 
 
 def shingles(words: Column) -> Column:
@@ -36,30 +40,51 @@ def _bands() -> tuple[Column, Column]:
     return F.transform(seq(BANDS), lambda b: F.xxhash64(b, F.slice(F.col("minima"), b * ROWS + 1, ROWS))), minima
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """a, b: pairs of distinct texts of at least SIMILARITY that connect all such texts of a bucket. texts: id, words (distinct)."""
-    sh = materialize(texts.select("id", shingles(F.col("words")).alias("sh")), "shingles")
-    bands, minima = _bands()
-    every = materialize(sh.select("id", minima.alias("minima")).select("id", F.explode(bands).alias("bucket")), "buckets")
+def alike(pairs: DataFrame, sh: DataFrame) -> DataFrame:
+    """a, b: those of the pairs that are of at least SIMILARITY. sh: id, sh."""
+    proven = pairs.select("a", "b").distinct().join(sh.withColumnsRenamed({"id": "a"}), "a").join(sh.withColumnsRenamed({"id": "b", "sh": "sh2"}), "b")
+    both = F.size(F.array_intersect("sh", "sh2"))
+    return proven.where(both >= SIMILARITY * (F.size("sh") + F.size("sh2") - both)).select("a", "b")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        proven = pairs.select("a", "b").distinct().join(sh.withColumnsRenamed({"id": "a"}), "a").join(sh.withColumnsRenamed({"id": "b", "sh": "sh2"}), "b")
-        both = F.size(F.array_intersect("sh", "sh2"))
-        return proven.where(both >= SIMILARITY * (F.size("sh") + F.size("sh2") - both)).select("a", "b")
 
-    sized = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead"))
+def links(sh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs of at least SIMILARITY that share a bucket, all of small buckets and some of large ones; and the ids in large ones. sh: id, sh (written)."""
+    bands, minima = _bands()
+    every = materialize(sh.select("id", minima.alias("minima")).select("id", F.explode(bands).alias("bucket")), "buckets")
+    sized = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     small = every.join(sized.where(f"n between 2 and {SMALL}").select("bucket"), "bucket")
-    found = [materialize(alike(small.select("bucket", F.col("id").alias("a")).join(small.select("bucket", F.col("id").alias("b")), "bucket").where("a < b")), "links")]
-    open_ = materialize(every.join(sized.where(f"n > {SMALL}").select("bucket"), "bucket"), "large")
+    found = [materialize(alike(small.select("bucket", F.col("id").alias("a")).join(small.select("bucket", F.col("id").alias("b")), "bucket").where("a < b"), sh), "links")]
+    large = open_ = materialize(every.join(sized.where(f"n > {SMALL}").select("bucket"), "bucket"), "large")
     while not open_.isEmpty():
         lead = open_.groupBy("bucket").agg(F.min("id").alias("b"))
         pairs = materialize(open_.join(lead, "bucket").where("id <> b").select("bucket", F.col("id").alias("a"), "b"), "pairs")
-        found.append(materialize(alike(pairs), "links"))
+        found.append(materialize(alike(pairs, sh), "links"))
         open_ = materialize(pairs.join(found[-1], ["a", "b"], "left_anti").select("bucket", F.col("a").alias("id")), "large")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.distinct(), large.select("id").distinct()
+
+
+def across(sh: DataFrame, label: DataFrame) -> DataFrame:
+    """a, b: all pairs of at least SIMILARITY whose clusters differ, of the texts in sh (id, sh). label: id, cluster; without a label a text is its own."""
+    texts = materialize(sh.join(label, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"), "sh"), "labelled")
+    every = texts.select("id", "cluster", F.explode("sh").alias("shingle"))
+    ordered = every.join(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle").groupBy("id", "cluster").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("o"))
+    # Texts alike have SIMILARITY of either's shingles in common, so one of the first of each in any order of all.
+    needed = F.ceil(SIMILARITY * F.size("o") - 1e-9).cast("int")
+    rare = materialize(ordered.select("id", "cluster", F.size("o").alias("size"), F.explode(F.slice("o", F.lit(1), F.size("o") - needed + 1)).alias("p")).select("id", "cluster", "size", "p.shingle"), "rare")
+    by_cluster = rare.groupBy("shingle", "cluster").agg(F.count(F.lit(1)).alias("c"))
+    # One of each pair is outside the shingle's main cluster; a shingle of one cluster has none.
+    mixed = by_cluster.groupBy("shingle").agg(F.sum("c").alias("n"), F.max(F.struct("c", "cluster"))["cluster"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    mixed = materialize(mixed.select("shingle", "main", F.ceil(F.col("n") / SALT).alias("parts")), "mixed")
+    here = rare.join(mixed, "shingle")
+    side = lambda x, salt: here.select("shingle", salt.alias("salt"), "main", F.col("id").alias(x), F.col("cluster").alias(f"c{x}"), F.col("size").alias(f"n{x}"))
+    one = side("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).where("ca <> main").drop("main")
+    other = side("b", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("main")
+    near = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9
+    pairs = one.join(other, ["shingle", "salt"]).where((F.col("ca") != F.col("cb")) & near)
+    return alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts.select("id", "sh"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -84,5 +109,15 @@ def clusters(texts: DataFrame) -> DataFrame:
     Empty texts and nulls are left out. The cluster is the smallest hash of its texts.
     """
     distinct = materialize(texts.where("text <> ''").select("text").distinct().withColumn("id", F.xxhash64("text")), "texts")
-    got = components(links(distinct.select("id", F.split("text", " ").alias("words"))))
+    sh = materialize(distinct.select("id", shingles(F.split("text", " ")).alias("sh")), "shingles")
+    found, large = links(sh)
+    got = components(found)
+    if not large.isEmpty():
+        known = F.coalesce("cluster", "id")
+        own = lambda x: got.select(F.col("id").alias(x), F.col("cluster").alias(f"c{x}"))
+        more = materialize(across(sh.join(large, "id", "left_semi"), got), "across")
+        if not more.isEmpty():
+            more = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            wider = components(more).withColumnsRenamed({"id": "old", "cluster": "wider"})
+            got = distinct.select("id").join(got, "id", "left").select("id", known.alias("old")).join(wider, "old", "left").select("id", F.coalesce("wider", "old").alias("cluster"))
     return distinct.join(got, "id", "left").select("text", F.coalesce("cluster", "id").alias("cluster"))
