@@ -31,14 +31,11 @@ MODEL_WORDS = 100_000
 #: A reading must be this much cheaper (natural logarithm) than the text as it stands.
 MARGIN = 4.0
 ROUNDS = 4
-#: Words that cost more than this don't speak for a text's being whole.
-RARE = 10.5
 LOST = "�"
 #: Marks that are ordinary in text of any language (fixed values).
 MARKS = set("“”„‚‘’…—–«»¿¡♪、。？！「」『』・ー·  　​﻿")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
-_CJKS = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]+")
 _PLAIN = re.compile(r"[\x00-\x7f]|[^\W\d_]")
 _C1 = re.compile(r"[\x80-\x9f]")
 
@@ -134,13 +131,6 @@ class Model:
             total += 3.0 if c in MARKS else 14.0 if c == LOST or "\x80" <= c <= "\x9f" else 9.0
         return total
 
-    def unexplained(self, text: str) -> bool:
-        """Whether a text holds rare words or marks: what the corpus accounts for is read as it stands."""
-        for w in _WORD.findall(text):
-            if not w.isascii() and self.log.get(w.casefold(), 99.0) > RARE and not _CJKS.fullmatch(w):
-                return True
-        return any(c not in MARKS for c in _PLAIN.sub("", text))
-
     def _fit(self, pattern: str) -> str | None:
         """The cheapest word of the model that fits a pattern of letters and lost places."""
         low = pattern.casefold()
@@ -298,7 +288,7 @@ def _chain(now: str, cost: float, model: Model) -> tuple[str, float]:
     for _ in range(ROUNDS):
         before = now
         ways = [e for e in UTF8_READ_AS if sequence_pattern(e).search(now)]
-        if sum(1 for c in now if ord(c) > 127) >= 4 and model.unexplained(now):
+        if sum(1 for c in now if ord(c) > 127) >= 4:
             ways += MULTI
         if not ways:
             break
@@ -314,11 +304,11 @@ def restore(text: str | None, model: Model) -> tuple[bool, str | None, bool]:
         return False, text, True
     start = model.cost(text)
     paths = [_chain(text, start, model)]
-    if model.unexplained(text):  # else no reading of whole words can be cheaper
-        one = _step(text, start, SINGLE, lambda t, pair: _read_single(t, *pair, model), model, 2.0)
-        paths.append(_step(*paths[0], SINGLE, lambda t, pair: _read_single(t, *pair, model), model, 2.0))
-        if one[0] != text:
-            paths.append(_chain(*one, model))
+    # Frequent words don't speak for a text: the corpus that counts them is garbled too.
+    one = _step(text, start, SINGLE, lambda t, pair: _read_single(t, *pair, model), model, 2.0)
+    paths.append(_step(*paths[0], SINGLE, lambda t, pair: _read_single(t, *pair, model), model, 2.0))
+    if one[0] != text:
+        paths.append(_chain(*one, model))
     now, cost = min(paths, key=lambda p: p[1])
     broken = LOST in now or bool(_C1.search(now))
     if LOST in now:
