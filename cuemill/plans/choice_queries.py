@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions import names
-from cuemill.functions.text import normalize_title, sequence_ratio
+from cuemill.functions.text import normalize_title
 from cuemill.operators import choices, store
 from cuemill.operators.overlap import milli
 from cuemill.plans.cue_queries import _M, _WITH, _confident
@@ -143,22 +143,17 @@ def compatible_key(spark, sf_dir):
 
 
 def fuzzy_candidates(spark, sf_dir):
-    """The best catalogue entry of each name among those sharing a rare word: matching blocks, shared words, year, kind. Python."""
-    n = table(spark, sf_dir, "media_names").where("normalized_title <> ''").select("name_id", F.col("normalized_title").alias("q"), F.col("media_year").alias("qy"), F.col("media_type").alias("qk")).distinct()
-    c = table(spark, sf_dir, "catalogue").select("catalogue_id", normalize_title("title").alias("t"), F.col("media_year").alias("y"), F.col("media_type").alias("k"), "popularity")
-    words = c.select("catalogue_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    rare = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n <= 60").select("w")
-    titles = n.select("q").distinct()
-    hits = titles.select("q", F.explode(F.array_distinct(F.split("q", " "))).alias("w")).join(words.join(rare, "w"), "w").select("q", "catalogue_id").distinct().join(c, "catalogue_id")
-    qw, tw = F.split("q", " "), F.split("t", " ")
-    jaccard = F.size(F.array_intersect(qw, tw)) / F.size(F.array_union(qw, tw))
-    base = hits.withColumn("s", 0.72 * F.greatest(sequence_ratio("q", "t"), jaccard))
-    year = F.when(F.col("qy").isNull(), 0.04).when(F.col("qy") == F.col("y"), 0.19).when(F.abs(F.col("qy") - F.col("y")) == 1, 0.07).otherwise(-F.least(F.lit(0.2), 0.04 * F.abs(F.col("qy") - F.col("y"))))
-    kind = F.when(F.col("qk").isNull(), 0.0).when(F.col("qk") == F.col("k"), 0.07).otherwise(-0.11)
-    scored = n.join(base.select("q", "catalogue_id", "y", "k", "s", "popularity"), "q").withColumn("score", milli(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s") + F.coalesce(year, F.lit(0.0)) + kind))))
-    w = Window.partitionBy("name_id").orderBy(F.desc("score"), F.desc("popularity"), "catalogue_id")
-    ranked = scored.withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0))).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return ranked.select("name_id", "catalogue_id", "score", "margin", ((F.col("score") >= 780) & (F.col("margin") >= 70)).alias("accepted"))
+    """The best catalogue entry of each name by title or original title: matching blocks, shared words, year, kind. Python.
+
+    Every entry is a candidate of every name; the catalogue is a fixed list. A name without any entry stays, unmatched.
+    """
+    n = table(spark, sf_dir, "media_names").where("normalized_title <> ''").select("name_id", F.col("normalized_title").alias("q"), F.coalesce("media_year", F.lit(-1)).alias("qy"), F.coalesce("media_type", F.lit("")).alias("qk")).distinct()
+    c = table(spark, sf_dir, "catalogue").select("catalogue_id", normalize_title("title").alias("t"), normalize_title("original_title").alias("o"), "media_year", "media_type", "popularity").distinct()
+    entries = [(r.catalogue_id, sorted({x for x in (r.t, r.o) if x}), r.media_year, r.media_type, r.popularity) for r in c.collect()]
+    best = choices.best_entries(n.select("q", "qy", "qk").distinct(), entries)
+    w = Window.partitionBy("name_id").orderBy(F.desc("score"), F.desc("margin"), "catalogue_id")
+    ranked = n.join(best, ["q", "qy", "qk"]).withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    return ranked.select("name_id", "catalogue_id", "score", "margin", (F.col("catalogue_id").isNotNull() & (F.col("score") >= 780) & (F.col("margin") >= 70)).alias("accepted"))
 
 
 QUERIES = {
