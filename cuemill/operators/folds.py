@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def gap_duration_groups(rows: list[tuple[int, int, bool]], gap: int, longest: int, sentence: int) -> list[int]:
@@ -35,12 +36,20 @@ def merge_padded(rows: list[tuple[int, int]], pad: int, gap: int, longest: int)
     return [tuple(x) for x in out]
 
 
+def parts(df: DataFrame, keys: list[str], start: str, end: str, pause: int) -> DataFrame:
+    """df with part: the number of pauses over `pause` before a row, after the latest end so far. A fold that begins anew there may be run by part."""
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    latest = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = df.withColumn("part", F.coalesce(F.col(start) - latest > pause, F.lit(False)).cast("bigint"))
+    return cut.withColumn("part", F.sum("part").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
 def group_by_gap_and_duration(df: DataFrame, keys: list[str], start: str, end: str, stop: str, gap: int = 620, longest: int = 10_000, sentence: int = 700) -> DataFrame:
-    """keys, group_no, start_ms, end_ms, rows. keys must bound a group: here a job, a speaker and a slice of time."""
+    """keys, group_no, start_ms, end_ms, rows. keys must bound a group: here a job, a speaker and a part of parts()."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end])
+        pdf = pdf.sort_values([start, end, stop])
         pdf = pdf.assign(group_no=gap_duration_groups(list(zip(pdf[start], pdf[end], pdf[stop])), gap, longest, sentence))
         g = pdf.groupby([*keys, "group_no"], dropna=False, sort=True).agg(start_ms=(start, "min"), end_ms=(end, "max"), rows=(start, "size")).reset_index()
         return g[[*keys, "group_no", "start_ms", "end_ms", "rows"]]

@@ -39,14 +39,16 @@ def agglomerative_clusters(spark, sf_dir):
 
 
 def gap_duration_sessions(spark, sf_dir):
-    """Cues of a speaker grouped by pauses, length and sentence ends, within slices of ten minutes."""
-    c = cues(spark, sf_dir, "speaker_id", "source").where("speaker_id > 0").withColumn("slice", F.floor(F.col("l_start") / 600_000)).withColumn("stop", F.coalesce(F.col("source").rlike("[.!?。！？]\\s*$"), F.lit(False)))
-    return folds.group_by_gap_and_duration(c, ["job_id", "speaker_id", "slice"], "l_start", "l_end", "stop")
+    """Cues of a speaker grouped by pauses, length and sentence ends; folded in parts between pauses that end a group anyway."""
+    c = cues(spark, sf_dir, "speaker_id", "source").where("speaker_id > 0").withColumn("stop", F.coalesce(F.col("source").rlike("[.!?。！？]\\s*$"), F.lit(False)))
+    # Any pause over 620 ends a group; cutting at long ones only keeps the parts from being tiny.
+    return folds.group_by_gap_and_duration(folds.parts(c, ["job_id", "speaker_id"], "l_start", "l_end", 30_000), ["job_id", "speaker_id", "part"], "l_start", "l_end", "stop")
 
 
 def listening_windows(spark, sf_dir):
-    c = cues(spark, sf_dir).withColumn("slice", F.floor(F.col("l_start") / 600_000))
-    return folds.merge_windows(c, ["job_id", "slice"], "l_start", "l_end")
+    """Windows around cues; folded in parts between pauses that end a window anyway."""
+    # Hints widened by 650 at both ends are merged while less than 3000 apart.
+    return folds.merge_windows(folds.parts(cues(spark, sf_dir), ["job_id"], "l_start", "l_end", 3_000 + 2 * 650), ["job_id", "part"], "l_start", "l_end")
 
 
 def upsert_latest_wins(spark, sf_dir):
