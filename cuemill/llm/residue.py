@@ -30,7 +30,7 @@ COMMON = 0.02
 #: Share of a segment's content words that have a role: to decide alone, and to be a candidate at all.
 TOLD, HINTED = 0.4, 0.25
 #: Candidates count where their response is in so many texts, on so many hosts, so often in place of content, so often unlike its text.
-RECURS, HOSTS, ALONE, UNLIKE = 3, 2, 0.3, 0.8
+RECURS, HOSTS, ALONE, UNLIKE = 3, 2, 0.4, 0.8
 #: A sentence about a placeholder has so many words besides.
 ABOUT = 9
 #: Roles are only asked for words up to this length; longer ones are names or noise, none is in the lists below.
