@@ -1,42 +1,50 @@
 """Text that was decoded with the wrong character encoding: finding it, and the original where it can be had back.
 
-A noisy channel: some true text was written in one encoding and read in another, perhaps twice, and bytes
-without a character in the wrong table were lost. For every pair of encodings a field is laid out as a lattice
-of the bytes it was read from, in which lost bytes are wildcards; each way through that is valid in the true
-encoding is a candidate. What a candidate is worth is its cost under word frequencies of the whole corpus, and
-the cheapest reading wins if it beats the text as it stands by a margin. Wildcards are then filled by a search
-over the words of the corpus that fit, word by word, along the cheapest path.
+A noisy channel: some true text was written in one encoding and read in another, perhaps more than once, and bytes
+without a character in the wrong table were lost. For every pair of encodings a field is laid out as a lattice of
+the bytes it was read from, in which a lost byte is a wildcard: the set of bytes that the wrong table lacks. What is
+valid in the true encoding makes a lattice of characters; a place that several characters fit is kept as their set,
+and the next reading goes on from there. A Viterbi search through the lattice under the word frequencies of the whole
+corpus finds its cheapest path. The cheapest reading wins if it beats the text as it stands by a margin.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuemill.session import materialize
+
 #: Encodings that UTF-8 bytes may have been read in.
 UTF8_READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "cp866", "cp1251", "mac_roman", "cp1250", "koi8_r", "iso8859_15", "mac_cyrillic"]
 #: Single-byte pairs (true, read as).
 SINGLE = [("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8_r", "cp1252"), ("koi8_r", "cp1251"), ("cp866", "cp1252"), ("cp866", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866"), ("cp1251", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1250")]
 #: Multi-byte pairs (true, read as).
 MULTI = [(t, e) for t in ("cp932", "euc_jp") for e in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp866")]
-#: The model keeps this many words, the most frequent of the whole corpus; others cost as unknown ones.
-MODEL_WORDS = 100_000
+#: Words are told apart down to this share of the corpus (so there are 1 / MODEL_SHARE at most); rarer ones cost as unknown ones.
+MODEL_SHARE = 2e-6
 #: A reading must be this much cheaper (natural logarithm) than the text as it stands.
 MARGIN = 4.0
-ROUNDS = 4
 LOST = "�"
+#: What a mark costs in a place that is not usual for it.
+ODD_PLACE = 10.0
+#: More lost characters in a row than this are left as they are: nothing is known of any of them.
+RUN = 8
 #: Marks that are ordinary in text of any language (fixed values).
 MARKS = set("“”„‚‘’…—–«»¿¡♪、。？！「」『』・ー·  　​﻿")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 _PLAIN = re.compile(r"[\x00-\x7f]|[^\W\d_]")
+_ALONE = re.compile("[ '’]� ")
 _C1 = re.compile(r"[\x80-\x9f]")
 
 
@@ -71,7 +79,7 @@ def _class(encoding: str, low: int, high: int, more: str = "") -> str:
 @lru_cache(None)
 def sequence_pattern(encoding: str) -> re.Pattern:
     """What two to four bytes of UTF-8 look like when read in an encoding; a lost byte may stand for the second and later ones."""
-    cont, two, three, four = _class(encoding, 0x80, 0xBF, LOST), _class(encoding, 0xC2, 0xDF), _class(encoding, 0xE0, 0xEF), _class(encoding, 0xF0, 0xF4)
+    cont, two, three, four = _class(encoding, 0x80, 0xBF, LOST + "\U00100000-\U0010FFFD"), _class(encoding, 0xC2, 0xDF), _class(encoding, 0xE0, 0xEF), _class(encoding, 0xF0, 0xF4)
     return re.compile(f"{three}{cont}{{2}}|{two}{cont}|{four}{cont}{{3}}|{_class(encoding, 0xC3, 0xC3)} (?=[\\w])")
 
 
@@ -91,19 +99,54 @@ def _one_script(word: str) -> bool:
 _ODD = re.compile(r"[^\x00-\x7f“”„‚‘’…—–«»¿¡♪、。？！「」\xa0\u202f\u3000А-Яа-яЁё぀-ヿ一-鿿À-ÖØ-öø-ÿŒœŽžĆć]|[À-ÿŒœŽž‚][À-ÿŒœŽž“”„‚‘’…—–«»¿¡\xa0 ]|[А-Яа-яЁё][\xa0-\xff“”„‚‘’…—–]|[а-яё][А-ЯЁ]|[А-ЯЁ][а-яё]?[А-ЯЁ]|[À-ÿ]$")
 
 
+#: Places of a lattice that several characters fit: each set of characters has one character of the last plane to stand for it.
+_SETS: dict[tuple[str, ...], str] = {}
+_MEMBERS: dict[str, tuple[str, ...]] = {}
+_FIRST, _LAST = 0x100000, 0x10FFFD
+_OPEN = re.compile("[�\U00100000-\U0010FFFD]")
+
+
+def place(chars: tuple[str, ...]) -> str:
+    """The character that stands for a set of several; the only one of a set of one; LOST where all signs for sets are taken."""
+    if len(chars) == 1:
+        return chars[0]
+    if (c := _SETS.get(chars)) is None:
+        if _FIRST + len(_SETS) > _LAST:
+            return LOST
+        c = _SETS[chars] = chr(_FIRST + len(_SETS))
+        _MEMBERS[c] = chars
+    return c
+
+
+@lru_cache(100_000)
+def bytes_of(c: str, encoding: str) -> tuple[int, ...]:
+    """Bytes that a place of a lattice may have been read from: none for a character the encoding lacks."""
+    if c == LOST:
+        return tuple(lacking(encoding)) or tuple(range(0x80, 0xA0))
+    if c in _MEMBERS:
+        return tuple(sorted({b for x in _MEMBERS[c] for b in bytes_of(x, encoding)}))
+    b = byte_of(encoding).get(c)
+    return () if b is None else (b,)
+
+
 class Model:
-    """Costs of words (negative natural logarithms of their share of the corpus)."""
+    """Costs of words (negative natural logarithms of their share of the corpus), and the search under them.
 
-    def __init__(self, words: dict[str, int], total: int):
+    words: counts; titles: of words that begin with a letter beyond ASCII, how often they do with a capital; pairs:
+    how often a single character beyond ASCII stands behind a word.
+    """
+
+    def __init__(self, words: dict[str, int], total: int, titles: dict[str, int] | None = None, pairs: dict[str, int] | None = None):
         words = {w: c for w, c in words.items() if _one_script(w)}
+        self.pairs = pairs or {}
         self.log = {w: -math.log(c / max(1, total)) for w, c in words.items()}
-        self.by_length: dict[int, str] = {}
-        lengths = defaultdict(list)
-        for w in words:
-            lengths[len(w)].append(w)
-        self.by_length = {n: "\n" + "\n".join(ws) + "\n" for n, ws in lengths.items()}
+        self.title = {w: min(0.98, max(0.02, c / max(1, words.get(w, 0)))) for w, c in (titles or {}).items()}
+        #: Words in which a place may have been lost, in order: what begins like a prefix stands together.
+        self.spelled = sorted(w for w in words if not w.isascii())
+        letters = sorted({c for w in self.spelled for c in w if not c.isascii()})
+        #: What a place may have held of which nothing is known.
+        self.lost = [*letters, *[c.upper() for c in letters if len(c.upper()) == 1 and c.upper() != c], "“", "”", "’", "…", "—", "¿", "¡"]
         self.known = lru_cache(200_000)(self._word)
-        self.fit = lru_cache(50_000)(self._fit)
 
     def _word(self, word: str) -> float:
         if _CJK.search(word):
@@ -126,43 +169,143 @@ class Model:
         return cost + 8.0 * mixed + 6.0 * greek_etc
 
     def cost(self, text: str) -> float:
+        """Cost of a text; of a lattice, that of its cheapest path, places lost for good at the price of such."""
         total = sum(map(self.known, _WORD.findall(text)))
         for c in _PLAIN.sub("", text):
-            total += 3.0 if c in MARKS else 14.0 if c == LOST or "\x80" <= c <= "\x9f" else 9.0
+            total += 3.0 if c in MARKS else 14.0 if c == LOST or "\x80" <= c <= "\x9f" else min(map(self.cost, _MEMBERS[c])) if c in _MEMBERS else 9.0
         return total
 
-    def _fit(self, pattern: str) -> str | None:
-        """The cheapest word of the model that fits a pattern of letters and lost places."""
-        low = pattern.casefold()
-        words = self.by_length.get(len(low))
-        if not words or not low.strip(LOST):
-            return None
-        found = re.findall("\n(?=(" + "".join(r"[^\x00-\x7f\n]" if c == LOST else re.escape(c) for c in low) + ")\n)", words)
-        return min(found, key=lambda w: self.log[w]) if found else None
+    def begins(self, prefix: str) -> bool:
+        """Whether any word with a letter beyond ASCII begins so."""
+        low = prefix.casefold()
+        i = bisect_left(self.spelled, low)
+        return i < len(self.spelled) and self.spelled[i].startswith(low)
+
+    def search(self, text: str) -> tuple[str, float]:
+        """The cheapest path through a lattice (Viterbi) and its cost. A state is the word begun and whether a quotation is open.
+
+        Beginnings that no word has are one state: they cost as unknown words whatever their letters are.
+        """
+        # state: (beginning, known, open) -> (cost, (path before, piece))
+        states: dict[tuple[str, bool, bool], tuple[float, tuple | None]] = {("", True, False): (0.0, None)}
+
+        def put(into: dict, begun: str, known: bool, opened: bool, cost: float, path: tuple | None) -> None:
+            key = (begun, True, opened) if known else ("", False, opened)
+            old = into.get(key)
+            if old is None or cost < old[0]:
+                into[key] = (cost, path) if known else (cost, (path, begun))
+
+        def close(into: dict, key: tuple, value: tuple, piece: str, price: float, opened: bool | None = None) -> None:
+            begun, known, was = key
+            cost, path = value
+            if begun and known:
+                cost += self.known(begun) + self._case(begun)
+                path = (path, begun)
+            elif not known:
+                cost += 26.0
+            put(into, "", True, was if opened is None else opened, cost + price, (path, piece))
+
+        for m in re.finditer(rf"[^\W\d_]+|{LOST}{{{RUN + 1},}}|.", text, re.S):
+            piece, new = m[0], {}
+            here = _MEMBERS.get(piece) or (self.lost if piece == LOST else None)
+            if here is None:
+                letters = piece[0].isalpha()
+                for key, value in states.items():
+                    if letters:
+                        if key[1]:
+                            put(new, key[0] + piece, True, key[2], *value)
+                        else:
+                            put(new, piece, False, key[2], *value)
+                    else:
+                        close(new, key, value, piece, 3.0 if piece in MARKS else 0.0, True if piece in "“„«" else False if piece in "”»" else None)
+            else:
+                before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+                for key, value in states.items():
+                    for c in here:
+                        if c.isalpha() and not _CJK.match(c):
+                            begun = key[0] + c
+                            known = key[1] and self.begins(begun)
+                            put(new, begun if key[1] else c, known, key[2], *value)
+                        elif _CJK.match(c):
+                            close(new, key, value, c, self.known(c))
+                        else:
+                            price, opened = self._mark(c, key, before, after)
+                            close(new, key, value, c, price, opened)
+            states = new
+        ends: dict = {}
+        for key, value in states.items():
+            close(ends, key, value, "", 0.0)
+        cost, path = min(ends.values(), key=lambda v: v[0])
+        out = []
+        while path is not None:
+            path, piece = path
+            out.append(piece)
+        return self._alone(text, "".join(reversed(out))), cost
+
+    def _alone(self, text: str, found: str) -> str:
+        """Single lost characters between words are what most often stood behind the word before them."""
+        if not _ALONE.search(text):
+            return found
+        was, now = text.split(" "), found.split(" ")
+        for i, w in enumerate(was[:-1]):
+            lone = w == LOST and i > 0
+            if len(was) == len(now) and (lone or (w[-2:-1] in ("'", "’") and w[-1] == LOST)):
+                before = f"{now[i - 1]} " if lone else now[i][:-1]
+                fits = [(n, c) for c in self.lost if (n := self.pairs.get((before + c).casefold()))]
+                if fits:
+                    now[i] = now[i][:-1] + max(fits)[1].lower()
+        return " ".join(now)
+
+    def _case(self, word: str) -> float:
+        """What a first letter beyond ASCII costs as it is written: names have a capital, most words don't."""
+        if word[0].isascii() or word.isupper() and len(word) > 1:
+            return 0.0
+        share = self.title.get(word.casefold(), 0.5)
+        return -math.log(share if word[0].isupper() else 1 - share)
+
+    def _mark(self, c: str, key: tuple, before: str, after: str) -> tuple[float, bool | None]:
+        """Cost of a mark behind a state, between two characters, and whether a quotation is open then."""
+        inside, opened = key[0] != "" or not key[1], key[2]
+        apart = not before or before.isspace()
+        letter = after.isalpha() or after == LOST or after in _MEMBERS
+        if c in "“„«":
+            return 3.0 + ODD_PLACE * (inside or opened or not letter), True
+        if c in "”»":
+            return 3.0 + ODD_PLACE * (not opened or letter), False
+        if c in "’‘":
+            return 4.0 + ODD_PLACE * (not inside or not letter), None
+        if c == "…":
+            return 5.0 + ODD_PLACE * (letter or apart), None
+        if c in "—–":
+            return 6.0 + ODD_PLACE * (not apart or letter or not before), None
+        if c in "¿¡":
+            return 4.0 + ODD_PLACE * (inside or not letter), None
+        return self.cost(c) + 4.0, None
 
 
 def _utf8(chars: str, encoding: str) -> str | None:
-    """The character whose UTF-8 bytes were read as these; LOST where a lost byte leaves several."""
-    table = byte_of(encoding)
-    raw = [0xA0 if c == " " else None if c == LOST else table[c] for c in chars]
-    if None not in raw:
+    """The place for the characters whose UTF-8 bytes may have been read as these; None where there are none."""
+    sets = [(0xA0,) if c == " " else bytes_of(c, encoding) for c in chars]
+    if all(len(x) == 1 for x in sets):
         try:
-            return bytes(raw).decode("utf-8")
+            return bytes(x[0] for x in sets).decode("utf-8")
         except UnicodeDecodeError:
             return None
-    fills = [b for b in lacking(encoding) if 0x80 <= b <= 0xBF] or []
-    if raw.count(None) == 1 and len(fills) == 1:
+    found = set()
+    for raw in product(*[[b for b in x if 0x80 <= b <= 0xBF] if i else x for i, x in enumerate(sets)]):  # 32³ at most
         try:
-            return bytes(fills[0] if b is None else b for b in raw).decode("utf-8")
+            c = bytes(raw).decode("utf-8")
         except UnicodeDecodeError:
-            return None
-    return LOST
+            continue
+        if len(c) == 1 and _likely(c):
+            found.add(c)
+    return place(tuple(sorted(found))) if found else None
 
 
 def _likely(c: str) -> bool:
     """Whether a character is of a script or a kind of mark that texts here are written in, or of a second garbling."""
     o = ord(c)
-    return o < 0x180 or o in (0x192, 0x2C6, 0x2DC) or 0x370 <= o < 0x500 or 0x2000 <= o < 0x2800 or 0x3000 <= o < 0x3100 or 0x4E00 <= o < 0xA000 or o >= 0xFB00
+    return o >= _FIRST or o < 0x180 or o in (0x192, 0x2C6, 0x2DC) or 0x370 <= o < 0x500 or 0x2000 <= o < 0x2800 or 0x3000 <= o < 0x3100 or 0x4E00 <= o < 0xA000 or o >= 0xFB00
 
 
 def _read_utf8(text: str, encoding: str) -> str:
@@ -194,18 +337,66 @@ def _read_single(text: str, true: str, read: str, model: Model) -> str:
     return "".join(out)
 
 
+@lru_cache(100_000)
+def _cell(sets: tuple[tuple[int, ...], ...], true: str) -> tuple[float, str]:
+    """Cost and place of the characters that one or two sets of bytes may be; an infinite cost where they are none."""
+    found = set()
+    for raw in product(*sets):
+        try:
+            c = bytes(raw).decode(true)
+        except UnicodeDecodeError:
+            continue
+        if len(c) == 1:
+            found.add(c)
+    if not found:
+        return math.inf, LOST
+    return min(2.5 if "぀" <= c <= "ヿ" else 3.0 if c in MARKS or c.isascii() else 5.0 if _CJK.match(c) else 9.0 for c in found), place(tuple(sorted(found)))
+
+
+def _pairs(sets: list[tuple[int, ...]], true: str) -> str:
+    """The cheapest cut of a lattice of bytes into characters of one or two bytes; places that several fit stay open."""
+    n = len(sets)
+    best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
+    for i in range(n):
+        at = best[i][0]
+        for k in (1, 2):
+            if i + k > n:
+                break
+            price, piece = _cell(tuple(sets[i : i + k]), true)
+            if k == 1 and math.isinf(price):
+                price = 14.0
+            if at + price < best[i + k][0]:
+                best[i + k] = (at + price, i, piece)
+    out, i = [], n
+    while i:
+        _, before, piece = best[i]
+        out.append(piece)
+        i = before
+    return "".join(reversed(out))
+
+
+def _japanese(c: str) -> bool:
+    return _CJK.match(c) is not None or c in MARKS or (c in _MEMBERS and any(map(_japanese, _MEMBERS[c])))
+
+
 def _read_multi(text: str, true: str, read: str) -> str:
     """Runs of characters that may be read from bytes, taken over where they are Japanese in the true encoding."""
     table, out, at = byte_of(read), [], 0
     while at < len(text):
         end = at
-        while end < len(text) and (text[end] in table or text[end] == LOST):
+        while end < len(text) and (text[end] in table or text[end] == LOST or text[end] in _MEMBERS):
             end += 1
         run = text[at:end]
         if sum(1 for c in run if ord(c) > 127) >= 4:
-            got = bytes(0x81 if c == LOST else table[c] for c in run).decode(true, "replace")
+            if (lost := len(_OPEN.findall(run))) * 3 > len(run):
+                got = run  # too little is left of it to tell Japanese
+            elif lost:
+                sets = [bytes_of(c, read) for c in run]
+                got = _pairs(sets, true) if all(sets) else run
+            else:
+                got = bytes(table[c] for c in run).decode(true, "replace")
             kana, lost = sum(1 for c in got if "぀" <= c <= "ヿ"), got.count(LOST)
-            if kana >= 2 and lost <= len(got) // 5 and sum(1 for c in got if _CJK.match(c) or c in MARKS) * 2 >= len(got.strip()):
+            if kana >= 2 and lost <= len(got) // 5 and sum(map(_japanese, got)) * 2 >= len(got.strip()):
                 run = got
         out.append(run)
         if end == at:
@@ -215,62 +406,6 @@ def _read_multi(text: str, true: str, read: str) -> str:
     return "".join(out)
 
 
-def _fill(text: str, model: Model) -> str:
-    """Lost characters filled: by the words that fit, else by the mark their place asks for."""
-    if LOST not in text:
-        return text
-    pieces = re.split(r"(\s+)", text)
-    opened = False
-    for i, piece in enumerate(pieces):
-        if LOST not in piece:
-            continue
-        m = re.match(r"^(�*)(.*?)(�*)([.,;:!?]*)$", piece, re.S)
-        head, body, tail, stop = m[1], m[2], m[3], m[4]
-        best, cost = piece, math.inf
-        # Outer lost places may be letters or marks: every split of them is tried, the cheapest path wins.
-        for a in range(len(head) + 1):
-            for b in range(len(tail) + 1):
-                word = head[a:] + body + tail[: len(tail) - b]
-                front = "“" * a
-                back = ("”" if opened or a else "…") * b
-                if not word.strip(LOST):
-                    word, price = ("" if not word else "—"), 2.0
-                else:
-                    word, price = _fill_word(word, model)
-                total = price + 3.0 * (a + b)
-                if total < cost:
-                    best, cost = front + word + back + stop, total
-        opened |= best.startswith("“")
-        pieces[i] = best
-    return "".join(pieces)
-
-
-def _fill_word(word: str, model: Model) -> tuple[str, float]:
-    if LOST not in word:
-        return word, model.cost(word)
-    got, price = [], 0.0
-    for part in re.split(r"([^\w�]+)", word):
-        if LOST not in part:
-            got.append(part)
-            price += model.cost(part)
-            continue
-        fit = model.fit(part)
-        if fit is None:  # one lost place is an apostrophe
-            for k in [k for k, c in enumerate(part) if c == LOST]:
-                left, right = part[:k], part[k + 1 :]
-                l2, r2 = (left if LOST not in left else model.fit(left)), (right if LOST not in right else model.fit(right))
-                if left and right and l2 and r2:
-                    fit = f"{l2}’{r2}"
-                    break
-        if fit is None:
-            got.append(part)
-            price += 40.0
-        else:
-            got.append("".join(f.upper() if (c != LOST and c.isupper()) or (c == LOST and k == 0 and (len(part) < 2 or part[1].isupper() or fit[0] not in "àáâäãèéêëìíîïòóôöùúûü")) and len(fit) == len(part) else f for k, (f, c) in enumerate(zip(fit, part))) if len(fit) == len(part) else fit)
-            price += model.cost(fit)
-    return "".join(got), price
-
-
 def _step(now: str, cost: float, ways: list, read, model: Model, gain: float) -> tuple[str, float]:
     """The cheapest of a text's readings, or the text itself where none is cheaper by `gain`."""
     best, price, tried = now, cost - gain, {now}
@@ -285,7 +420,7 @@ def _step(now: str, cost: float, ways: list, read, model: Model, gain: float) ->
 
 def _chain(now: str, cost: float, model: Model) -> tuple[str, float]:
     """Readings of several bytes a character, as often as one makes the text cheaper: it may have been misread twice."""
-    for _ in range(ROUNDS):
+    while True:  # ends: each reading is cheaper than the one before
         before = now
         ways = [e for e in UTF8_READ_AS if sequence_pattern(e).search(now)]
         if sum(1 for c in now if ord(c) > 127) >= 4:
@@ -302,6 +437,8 @@ def restore(text: str | None, model: Model) -> tuple[bool, str | None, bool]:
     """Whether a text was garbled, the text as far as it can be restored, and whether nothing is left lost."""
     if not text or text.isascii() or not _ODD.search(text) or not trigger().search(text):
         return False, text, True
+    if max(text) >= "\U00100000":  # private characters are no text; here they stand for open places
+        text = "".join(c for c in text if c < "\U00100000")
     start = model.cost(text)
     paths = [_chain(text, start, model)]
     # Frequent words don't speak for a text: the corpus that counts them is garbled too.
@@ -310,50 +447,61 @@ def restore(text: str | None, model: Model) -> tuple[bool, str | None, bool]:
     if one[0] != text:
         paths.append(_chain(*one, model))
     now, cost = min(paths, key=lambda p: p[1])
-    broken = LOST in now or bool(_C1.search(now))
-    if LOST in now:
-        now = _fill(now, model)
+    open_ = _OPEN.search(now) is not None
+    broken = open_ or bool(_C1.search(now))
+    if open_:
+        now, cost = model.search(now)
     whole = LOST not in now and not _C1.search(now)
     garbled = broken or (now != text and start - cost >= MARGIN)
     return (True, now, whole) if garbled else (False, text, True)
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """word, n: counts of the alphabetic words of all texts, in lower case."""
-    words = F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+)"), F.lit(1))
-    return texts.where(F.col(column).isNotNull()).select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """word, n, titles: counts of the alphabetic words of all texts in lower case, and of those with a capital among them; also of words with a single character beyond ASCII behind them."""
+    words = F.regexp_extract_all(column, F.lit(r"([\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+)"), F.lit(1))
+    pairs = F.transform(F.regexp_extract_all(column, F.lit(r"(\p{L}+['’ ][^\x00-\x7f�])(?= )"), F.lit(1)), F.lower)
+    each = texts.where(F.col(column).isNotNull()).select(F.explode(F.concat(words, pairs)).alias("w"))
+    spelled = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return spelled.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("w").rlike(r"^\p{Lu}"), F.col("n")).otherwise(0)).alias("titles"))
+
+
+Trained = tuple[dict[str, int], int, dict[str, int], dict[str, int]]
+
+
+def train(texts: DataFrame, column: str, share: float = MODEL_SHARE) -> Trained:
+    """Word counts of the whole corpus: those seen twice or more that make up a share of it, the total, and capitals of those that begin beyond ASCII."""
+    counts = materialize(word_counts(texts, column), "words")
+    pair = F.col("word").rlike("['’ ].$")
+    total = counts.where(~pair).agg(F.sum("n")).first()[0] or 0
+    kept = counts.where(F.col("n") >= max(2.0, share * total)).select("*", pair.alias("pair")).collect()  # at most 2 / share rows
+    words = [r for r in kept if not r.pair]
+    return {r.word: r.n for r in words}, total, {r.word: r.titles for r in words if not r.word[0].isascii()}, {r.word: r.n for r in kept if r.pair}
 
 
-def train(texts: DataFrame, column: str, words: int = MODEL_WORDS) -> tuple[dict[str, int], int]:
-    """Word counts of the whole corpus: the `words` most frequent of those seen twice or more, and the total."""
-    counts = word_counts(texts, column).cache()
-    try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        top = counts.where("n >= 2 and length(word) <= 40").orderBy(F.desc("n"), "word").limit(words).collect()
-    finally:
-        counts.unpersist()
-    return {r.word: r.n for r in top}, total
+_MODELS: dict[str, Model] = {}
 
 
-_MODELS: dict[int, Model] = {}
+def new_key() -> str:
+    """Names a broadcast value for good: a Python worker that lives on must not take another's model for it."""
+    return uuid.uuid4().hex
 
 
-def model_of(key: int, value: tuple[dict[str, int], int]) -> Model:
-    """One model a worker; key: of the broadcast it comes in."""
+def model_of(key: str, value: Trained) -> Model:
+    """One model a worker; key: new_key() of the broadcast it comes in."""
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Model(*value)
     return _MODELS[key]
 
 
-def find_garbled(fields: DataFrame, keep: list[str], text: str, trained: tuple[dict[str, int], int]) -> DataFrame:
+def find_garbled(fields: DataFrame, keep: list[str], text: str, trained: Trained) -> DataFrame:
     """keep columns, restored STRING, whole BOOLEAN: the rows whose text was garbled.
 
     Null and empty texts and texts of ASCII alone are never garbled. Repeated rows are each judged. whole tells
     whether nothing is left lost in the restored text. An empty table gives no rows.
     """
-    shared = fields.sparkSession.sparkContext.broadcast(trained)  # at most MODEL_WORDS words
-    key = hash((shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else 0, trained[1], len(trained[0])))
+    shared = fields.sparkSession.sparkContext.broadcast(trained)  # at most 1 / MODEL_SHARE words
+    key = new_key()
     slim = fields.select(*keep, F.col(text).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7f]"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", restored string, whole boolean"
 

@@ -114,7 +114,7 @@ def features(pairs: DataFrame, keep: list[str], source: str, response: str, trai
     """keep columns and what is measured of each pair on its own."""
     sc = pairs.sparkSession.sparkContext
     words, scores = sc.broadcast(trained), sc.broadcast((model.scores, model.bias, model.temperature, model.cut))  # both of bounded size
-    key = hash((trained[1], len(trained[0]), "pairs", model.temperature, float(model.scores.sum())))
+    key = garble.new_key()
     slim = pairs.select(*keep, F.col(source).alias("_s"), F.col(response).alias("_e"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-2]) + ", " + FEATURES
     names = [x.split()[0] for x in FEATURES.split(", ")]

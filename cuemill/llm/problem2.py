@@ -14,10 +14,10 @@ def spoken(text: str | None) -> str:
     return transcripts._NOTE.sub(" ", text) if text else ""
 
 
-def preparer(spark: SparkSession, trained: tuple[dict[str, int], int]):
+def preparer(spark: SparkSession, trained: garble.Trained):
     """Makes, in a worker, the function that restores a garbled line and drops its annotations."""
-    shared = spark.sparkContext.broadcast(trained)  # at most garble.MODEL_WORDS words
-    key = hash((trained[1], len(trained[0]), "prepare"))
+    shared = spark.sparkContext.broadcast(trained)  # at most 1 / garble.MODEL_SHARE words
+    key = garble.new_key()
 
     def make():
         model = garble.model_of(key, shared.value)

@@ -59,3 +59,29 @@ def test_rows(spark):
     got = g.find_garbled(df, ["id"], "t", trained).collect()
     assert [(r.id, r.restored, r.whole) for r in got] == [(1000, TEXTS[1], True)] * 2
     assert g.find_garbled(df.limit(0), ["id"], "t", g.train(df.limit(0), "t")).count() == 0
+
+
+def test_lattice_and_search():
+    model = g.Model({w: 50 * n for w, n in COUNTS.items()}, 50 * sum(COUNTS.values()), pairs={"dottore è": 9, "jusqu'à": 3})
+    # Each byte of these is lost where cp1252 has no character for it; the lattice keeps all that fit.
+    assert g._utf8("Ã�", "cp1252") in g._MEMBERS and g._MEMBERS[g._utf8("Ã�", "cp1252")] == ("Á", "Í", "Ï", "Ð", "Ý")
+    for text, damaged in [
+        (TEXTS[4], TEXTS[4].encode("cp1252").decode("utf-8", "replace")),
+        ("“Está bien.”", "�Est� bien.�"), ("Il dottore è più freddo", "Il dottore � pi� freddo"), ("jusqu'à là", "jusqu'� l�"),
+        (TEXTS[3], TEXTS[3].encode("utf-8").decode("cp1251", "replace")), (TEXTS[7], TEXTS[7].encode("utf-8").decode("cp1252", "replace")),
+    ]:
+        got = g.restore(damaged, model)
+        assert got[0] and (got[1] == text or damaged[0] not in "�" and sum(a == b for a, b in zip(got[1], text)) >= 0.8 * len(text)), (damaged, got)
+    assert g.restore("a\U00100000b", model)[0] is False
+    assert g.restore("�" * 9 + " x", model) == (True, "�" * 9 + " x", False)
+
+
+def test_planted_damage_is_restored():
+    """Share of lines that come back exactly, over every line and every wrong table, lost bytes included."""
+    right = n = 0
+    for text in TEXTS:
+        for read in ("cp1252", "cp437", "cp850", "cp1251", "mac_roman", "cp1250"):
+            damaged = text.encode("utf-8").decode(read, "replace")
+            n += 1
+            right += g.restore(damaged, MODEL)[1] == text
+    assert right >= 0.9 * n, (right, n)
