@@ -104,6 +104,7 @@ _SETS: dict[tuple[str, ...], str] = {}
 _MEMBERS: dict[str, tuple[str, ...]] = {}
 _FIRST, _LAST = 0x100000, 0x10FFFD
 _OPEN = re.compile("[�\U00100000-\U0010FFFD]")
+_SET = re.compile("[\U00100000-\U0010FFFD]")
 
 
 def place(chars: tuple[str, ...]) -> str:
@@ -170,10 +171,13 @@ class Model:
 
     def cost(self, text: str) -> float:
         """Cost of a text; of a lattice, that of its cheapest path, places lost for good at the price of such."""
-        total = sum(map(self.known, _WORD.findall(text)))
-        for c in _PLAIN.sub("", text):
-            total += 3.0 if c in MARKS else 14.0 if c == LOST or "\x80" <= c <= "\x9f" else min(map(self.cost, _MEMBERS[c])) if c in _MEMBERS else 9.0
-        return total
+        if _SET.search(text):
+            return self.search(text, fill=False)[1]
+        return sum(map(self.known, _WORD.findall(text))) + sum(map(self.sign, _PLAIN.sub("", text)))
+
+    def sign(self, c: str) -> float:
+        """Cost of a character that is no letter."""
+        return 0.0 if _PLAIN.match(c) else 3.0 if c in MARKS else 14.0 if c == LOST or "\x80" <= c <= "\x9f" else 9.0
 
     def begins(self, prefix: str) -> bool:
         """Whether any word with a letter beyond ASCII begins so."""
@@ -181,8 +185,8 @@ class Model:
         i = bisect_left(self.spelled, low)
         return i < len(self.spelled) and self.spelled[i].startswith(low)
 
-    def search(self, text: str) -> tuple[str, float]:
-        """The cheapest path through a lattice (Viterbi) and its cost. A state is the word begun and whether a quotation is open.
+    def search(self, text: str, fill: bool = True) -> tuple[str, float]:
+        """The cheapest path through a lattice (Viterbi) and its cost; what was lost for good is filled or stays. A state is the word begun and whether a quotation is open.
 
         Beginnings that no word has are one state: they cost as unknown words whatever their letters are.
         """
@@ -207,7 +211,7 @@ class Model:
 
         for m in re.finditer(rf"[^\W\d_]+|{LOST}{{{RUN + 1},}}|.", text, re.S):
             piece, new = m[0], {}
-            here = _MEMBERS.get(piece) or (self.lost if piece == LOST else None)
+            here = _MEMBERS.get(piece) or (self.lost if piece == LOST and fill else None)
             if here is None:
                 letters = piece[0].isalpha()
                 for key, value in states.items():
@@ -217,7 +221,7 @@ class Model:
                         else:
                             put(new, piece, False, key[2], *value)
                     else:
-                        close(new, key, value, piece, 3.0 if piece in MARKS else 0.0, True if piece in "“„«" else False if piece in "”»" else None)
+                        close(new, key, value, piece, sum(map(self.sign, piece)), True if piece in "“„«" else False if piece in "”»" else None)
             else:
                 before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
                 for key, value in states.items():
@@ -225,7 +229,8 @@ class Model:
                         if c.isalpha() and not _CJK.match(c):
                             begun = key[0] + c
                             known = key[1] and self.begins(begun)
-                            put(new, begun if key[1] else c, known, key[2], *value)
+                            late = 3.0 if before == LOST and key[0] == "" and key[1] else 0.0  # a word right behind a mark
+                            put(new, begun if key[1] else c, known, key[2], value[0] + late, value[1])
                         elif _CJK.match(c):
                             close(new, key, value, c, self.known(c))
                         else:
@@ -240,7 +245,8 @@ class Model:
         while path is not None:
             path, piece = path
             out.append(piece)
-        return self._alone(text, "".join(reversed(out))), cost
+        found = "".join(reversed(out))
+        return self._alone(text, found) if fill else found, cost
 
     def _alone(self, text: str, found: str) -> str:
         """Single lost characters between words are what most often stood behind the word before them."""
@@ -266,20 +272,20 @@ class Model:
     def _mark(self, c: str, key: tuple, before: str, after: str) -> tuple[float, bool | None]:
         """Cost of a mark behind a state, between two characters, and whether a quotation is open then."""
         inside, opened = key[0] != "" or not key[1], key[2]
-        apart = not before or before.isspace()
-        letter = after.isalpha() or after == LOST or after in _MEMBERS
+        apart, letter = not before or before.isspace(), after.isalpha()
+        follows = letter or after == LOST or after in _MEMBERS
         if c in "“„«":
-            return 3.0 + ODD_PLACE * (inside or opened or not letter), True
+            return 3.0 + ODD_PLACE * (inside or opened or not follows or not (apart or before in "¿¡(—" or before == LOST)), True
         if c in "”»":
-            return 3.0 + ODD_PLACE * (not opened or letter), False
+            return 3.0 + ODD_PLACE * (not opened or letter or apart), False
         if c in "’‘":
-            return 4.0 + ODD_PLACE * (not inside or not letter), None
+            return 5.5 + ODD_PLACE * (not inside or not follows), None
         if c == "…":
             return 5.0 + ODD_PLACE * (letter or apart), None
         if c in "—–":
             return 6.0 + ODD_PLACE * (not apart or letter or not before), None
         if c in "¿¡":
-            return 4.0 + ODD_PLACE * (inside or not letter), None
+            return 4.0 + ODD_PLACE * (inside or not follows), None
         return self.cost(c) + 4.0, None
 
 
@@ -507,8 +513,9 @@ def find_garbled(fields: DataFrame, keep: list[str], text: str, trained: Trained
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(key, shared.value)
+        again = lru_cache(100_000)(lambda x: restore(x, model))  # lines recur
         for b in batches:
-            got = [restore(x, model) for x in b.column(b.num_columns - 1).to_pylist()]
+            got = [again(x) if len(x) < 400 else restore(x, model) for x in b.column(b.num_columns - 1).to_pylist()]
             at = pa.array([i for i, g in enumerate(got) if g[0]], pa.int64())
             cols = [c.take(at) for c in b.columns[:-1]]
             yield pa.RecordBatch.from_arrays(

@@ -62,7 +62,7 @@ def test_rows(spark):
 
 
 def test_lattice_and_search():
-    model = g.Model({w: 50 * n for w, n in COUNTS.items()}, 50 * sum(COUNTS.values()), pairs={"dottore è": 9, "jusqu'à": 3})
+    model = g.Model({w: 50 * n for w, n in COUNTS.items()}, 50 * sum(COUNTS.values()), pairs={"dottore è": 9, "tomás —": 4, "jusqu'à": 3})
     # Each byte of these is lost where cp1252 has no character for it; the lattice keeps all that fit.
     assert g._utf8("Ã�", "cp1252") in g._MEMBERS and g._MEMBERS[g._utf8("Ã�", "cp1252")] == ("Á", "Í", "Ï", "Ð", "Ý")
     for text, damaged in [
