@@ -1,12 +1,11 @@
 """Clusters of near-duplicate texts by verified MinHash.
 
 Only distinct texts take part. Shingles are runs of five words (a shorter text is one shingle). 256 minima in 32
-bands of eight propose candidates. Within a bucket of a few distinct texts these are compared; in a larger one
-every text is compared with the bucket's smallest id, and those that are not alike are compared among themselves
-again in further rounds. Links of verified similarity are joined to components by passing on the smallest id, each
-round written to the shared folder. Similarity isn't transitive, so of the texts of large buckets those in different
-components are then joined exactly: texts alike share one of their rarest shingles (prefix filter). What is in one
-component already needs no comparison, so a large bucket doesn't cost all its pairs.
+bands of eight propose candidates. In every bucket each text is compared with the bucket's smallest id; links of
+verified similarity are joined to components by passing on the smallest id, each round written to the shared folder.
+Similarity isn't transitive, so where a text of a bucket is unlike its smallest id, the texts of that bucket are
+then joined exactly: texts alike share one of their rarest shingles (prefix filter). What is in one component
+already needs no comparison, so a bucket never costs all its pairs, whatever its size.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 8
-#: Buckets of so many distinct texts at most are compared pair by pair.
-SMALL = 64
 #: Texts with a shingle in common are joined in parts of about so many.
 SALT = 2048
 
@@ -48,22 +45,14 @@ def alike(pairs: DataFrame, sh: DataFrame) -> DataFrame:
 
 
 def links(sh: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a, b: pairs of at least SIMILARITY that share a bucket, all of small buckets and some of large ones; and the ids in large ones. sh: id, sh (written)."""
+    """a, b: pairs of at least SIMILARITY of a text and the smallest id of a bucket; and the ids of buckets with other pairs. sh: id, sh (written)."""
     bands, minima = _bands()
     every = materialize(sh.select("id", minima.alias("minima")).select("id", F.explode(bands).alias("bucket")), "buckets")
-    sized = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    small = every.join(sized.where(f"n between 2 and {SMALL}").select("bucket"), "bucket")
-    found = [materialize(alike(small.select("bucket", F.col("id").alias("a")).join(small.select("bucket", F.col("id").alias("b")), "bucket").where("a < b"), sh), "links")]
-    large = open_ = materialize(every.join(sized.where(f"n > {SMALL}").select("bucket"), "bucket"), "large")
-    while not open_.isEmpty():
-        lead = open_.groupBy("bucket").agg(F.min("id").alias("b"))
-        pairs = materialize(open_.join(lead, "bucket").where("id <> b").select("bucket", F.col("id").alias("a"), "b"), "pairs")
-        found.append(materialize(alike(pairs, sh), "links"))
-        open_ = materialize(pairs.join(found[-1], ["a", "b"], "left_anti").select("bucket", F.col("a").alias("id")), "large")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct(), large.select("id").distinct()
+    lead = every.groupBy("bucket").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b")
+    pairs = materialize(every.join(lead, "bucket").where("id <> b").select("bucket", F.col("id").alias("a"), "b"), "pairs")
+    found = materialize(alike(pairs, sh), "links")
+    open_ = pairs.join(found, ["a", "b"], "left_anti").select("bucket").distinct()
+    return found, materialize(every.join(open_, "bucket", "left_semi").select("id").distinct(), "open")
 
 
 def across(sh: DataFrame, label: DataFrame) -> DataFrame:
@@ -110,12 +99,12 @@ def clusters(texts: DataFrame) -> DataFrame:
     """
     distinct = materialize(texts.where("text <> ''").select("text").distinct().withColumn("id", F.xxhash64("text")), "texts")
     sh = materialize(distinct.select("id", shingles(F.split("text", " ")).alias("sh")), "shingles")
-    found, large = links(sh)
+    found, open_ = links(sh)
     got = components(found)
-    if not large.isEmpty():
+    if not open_.isEmpty():
         known = F.coalesce("cluster", "id")
         own = lambda x: got.select(F.col("id").alias(x), F.col("cluster").alias(f"c{x}"))
-        more = materialize(across(sh.join(large, "id", "left_semi"), got), "across")
+        more = materialize(across(sh.join(open_, "id", "left_semi"), got), "across")
         if not more.isEmpty():
             more = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
             wider = components(more).withColumnsRenamed({"id": "old", "cluster": "wider"})

@@ -41,7 +41,7 @@ def test_chain_in_one_large_bucket(spark, monkeypatch):
     bands, minima = neardup._bands()
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", neardup.shingles(F.split("text", " ")).alias("sh")).select("text", minima.alias("minima")).select("text", F.explode(bands).alias("bucket")).collect()
     buckets = [[r.text for r in rows if r.bucket == b] for b in {r.bucket for r in rows}]
-    large = [b for b in buckets if len(b) > neardup.SMALL]
+    large = [b for b in buckets if len(b) > 64]
     assert len(large) > 2
     got = _got(spark, texts)
     for bucket in large:
@@ -49,7 +49,6 @@ def test_chain_in_one_large_bucket(spark, monkeypatch):
 
 
 def test_all_buckets_large(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 1)
     monkeypatch.setattr(neardup, "SALT", 8)
     rng = random.Random(3)
     texts = set(_chain("w", 12)) | {"one two", "one three"}

@@ -94,3 +94,18 @@ def test_clusters_against_brute_force(spark):
 @given(st.text(max_size=60))
 def test_any_text(text):
     pairs.pair_features(text, text[::-1], WORDS, MODEL)
+
+
+def test_refusals_of_a_small_corpus(spark):
+    """Five refusals over four languages, none twice beside one language's prompts: what goes with the prompts tells."""
+    rng = random.Random(9)
+    vocab = {k: [w for w in dict.fromkeys(v.replace("|", " ").split()) if len(w) > 2] for k, v in BASE.items()}
+    langs = [k for k in ("de", "es", "fr", "it") if k in vocab]
+    rows = []
+    for i in range(400):
+        k, ws = langs[i % len(langs)], [[0, 1, 2], [3, 4, 5], [6, 7, 8]][rng.randrange(3)] + [rng.randrange(9, 15), 15, rng.randrange(9, 15)]
+        say = lambda lang: " ".join(vocab[lang][x] for x in ws) + "."  # noqa: E731, B023
+        rows.append((i, say(k), "I must not render this sentence for you." if i % 81 == 0 else say("en")))
+    feats = pairs.features(spark.createDataFrame(rows, "id long, s string, e string"), ["id"], "s", "e", ({}, 1), MODEL).cache()
+    got = {r.id for r in pairs.defects(feats, ["id"]).where("defect = 'refusal'").collect()}
+    assert got == {0, 81, 162, 243, 324}
