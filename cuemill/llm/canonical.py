@@ -2,10 +2,11 @@
 
 Repair works on tokens: each distinct typed token is joined to the reference vocabulary by edit distance. The
 join is an equality join on deletion neighbourhoods (two words at most k edits apart share a string that both
-reach by at most k deletions), then the distance is verified. Two tokens run together are split where both
-halves are words of the vocabulary, and a last token may be the beginning of a word. Typed titles are then
-compared with the entries that share a content word: a soft TF-IDF cosine over repaired tokens and, since it
-ignores order, the edit distance of the whole strings. No entry within reach is an answer too.
+reach by at most k deletions; long words, on one of five parts, since two edits leave one whole), then the distance
+is verified. Two tokens run together are split where both halves are words of the vocabulary, and a last token may be
+the beginning of a word. Typed titles are then compared with the entries that share a content word, or an entry's
+rarest word where it has none: a soft TF-IDF cosine over repaired tokens and, since it ignores order, the edit
+distance of the whole strings. No entry within reach is an answer too.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from cuemill.session import materialize
+
 #: A token in at most this share of the entries is a content word; entries are looked up by these.
 CONTENT_SHARE = 0.08
 #: Least score of an entry that is meant.
 ACCEPT = 0.80
-#: Words up to so many letters are repaired; longer ones only match themselves (a word has about n²/2 strings in reach).
-REPAIRED = 48
+#: Words of up to so many letters are joined on deletions (a word has about n²/2 strings in reach), longer ones on parts; both ways are exact.
+SHORT = 24
+#: Parts of a long word: two edits, two swapped letters each at worst, touch four of them.
+PARTS = 5
 #: Years between a typed and a true year at most.
 YEARS = 2
 
@@ -72,12 +77,21 @@ def _deletions(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), F.when(F.length(token) >= 3, first).otherwise(F.array()), F.when(F.length(token) >= 6, both).otherwise(F.array())))
 
 
+def _parts(token: Column, n: Column, shift: Column | int) -> Column:
+    """Of a word of n letters its PARTS parts, with their numbers: where they stand in a token that is shifted."""
+    shift = F.lit(shift) if isinstance(shift, int) else shift
+    at = lambda i: F.floor(n * i / PARTS).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.struct(n.cast("int").alias("n"), i.alias("i"), F.substring(token, F.greatest(at(i) + 1 + shift, F.lit(1)), at(i + 1) - at(i)).alias("part")))
+
+
 def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """token, word, sim, kind: all vocabulary words each distinct token may stand for. tokens: token; vocabulary: word."""
-    reach = lambda c: F.when(F.length(c) <= REPAIRED + 2, _deletions(F.col(c))).otherwise(F.array(c))
-    v = vocabulary.select("word", F.explode(reach("word")).alias("part"))
-    t = tokens.select("token", F.explode(reach("token")).alias("part"))
-    near = t.join(v, "part").select("token", "word").distinct()
+    v = vocabulary.where(F.length("word") <= SHORT).select("word", F.explode(_deletions(F.col("word"))).alias("part"))
+    t = tokens.where(F.length("token") <= SHORT + 2).select("token", F.explode(_deletions(F.col("token"))).alias("part"))
+    lv = vocabulary.where(F.length("word") > SHORT).select("word", F.explode(_parts(F.col("word"), F.length("word"), 0)).alias("p")).select("word", "p.*")
+    lt = tokens.where(F.length("token") > SHORT - 2).select("token", F.explode(F.sequence(F.length("token") - 2, F.length("token") + 2)).alias("n")).select("token", "n", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("shift"))
+    lt = lt.select("token", F.explode(_parts(F.col("token"), F.col("n"), F.col("shift"))).alias("p")).select("token", "p.*")
+    near = t.join(v, "part").select("token", "word").unionByName(lt.join(lv, ["n", "i", "part"]).select("token", "word")).distinct()
     longest = F.greatest(F.length("token"), F.length("word"))
     allowed = F.when(F.length("word") >= 6, 2).when(F.length("word") >= 3, 1).otherwise(0)
     edited = near.withColumn("e", swaps_distance("token", "word")).where(F.col("e") <= allowed).select("token", "word", (1 - F.col("e") / longest).alias("sim"), F.lit("edit").alias("kind"))
@@ -104,16 +118,20 @@ def match_titles(typed: DataFrame, entries: DataFrame, accept: float = ACCEPT, c
     e = entries.where("key <> ''").withColumn("stem", estem).withColumn("number", enumber).where("stem <> ''").withColumn("words", F.array_distinct(F.split("stem", " ")))
     e = e.select(F.monotonically_increasing_id().alias("eid"), "entry_id", F.col("key").alias("e_key"), F.col("stem").alias("e_stem"), F.col("number").alias("e_number"), "words", F.col("year").alias("e_year"), F.col("kind").alias("e_kind"), "rank")
     # One row per distinct stem of the reference list, with its weights.
+    e = materialize(e, "entries")
     stems = e.groupBy("e_stem").agg(F.first("words").alias("words"))
     n = stems.agg(F.count(F.lit(1)).alias("n"))
     vocab = stems.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))  # n: one row
     vocab = vocab.withColumn("w", F.log1p(F.col("n") / F.col("df"))).withColumn("content", F.col("df") <= F.greatest(F.lit(3.0), F.col("n") * content_share))
-    weighted = stems.select("e_stem", F.explode("words").alias("word")).join(vocab, "word")
-    postings = weighted.where("content").select("word", "e_stem")
+    vocab = materialize(vocab, "vocabulary")  # read many times
+    weighted = materialize(stems.select("e_stem", F.explode("words").alias("word")).join(vocab, "word"), "weights")
+    # An entry of frequent words alone is looked up by the rarest of them.
+    only = weighted.groupBy("e_stem").agg(F.min(F.struct("df", "word"))["word"].alias("word"), F.count_if("content").alias("c")).where("c = 0").select("word", "e_stem")
+    postings = weighted.where("content").select("word", "e_stem").unionByName(only)
     stem_side = weighted.groupBy("e_stem").agg(F.collect_list(F.struct("word", "w", "content")).alias("e_words"), F.count_if("content").alias("e_content"), F.count(F.lit(1)).alias("e_size"))
 
     parts = q.select("title", "stem", F.posexplode(F.split("stem", " ")).alias("pos", "token")).withColumn("last", F.col("pos") == F.size(F.split("stem", " ")) - 1)
-    fix = repairs(parts.select("token").distinct(), vocab.select("word"))
+    fix = materialize(repairs(materialize(parts.select("token").distinct(), "tokens"), vocab.select("word")), "repairs")
     known = fix.join(vocab, "word")
     options = parts.join(known, "token", "left").where("kind is null or kind <> 'prefix' or last")
     unknown_w = F.when(F.length("token") <= 3, F.lit(0.5)).otherwise(F.lit(6.0))
@@ -121,7 +139,8 @@ def match_titles(typed: DataFrame, entries: DataFrame, accept: float = ACCEPT, c
         F.coalesce(F.max_by("w", "sim"), unknown_w).alias("qw"), F.filter(F.collect_list(F.struct("word", "sim", "content")), lambda r: r["word"].isNotNull()).alias("opts")
     )
     q_side = per_token.groupBy("title", "stem").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"), F.flatten(F.collect_list("opts")).alias("opts"), F.count(F.lit(1)).alias("q_size"), F.count_if((F.size("opts") == 0) & (F.length("token") >= 4)).alias("q_odd"))
-    looked = q_side.select("title", F.explode("opts").alias("o")).where("o.content").select("title", F.col("o.word").alias("word")).distinct()
+    q_side = materialize(q_side, "typed")
+    looked = q_side.select("title", F.explode("opts").alias("o")).select("title", F.col("o.word").alias("word")).distinct()
     pairs = looked.join(postings, "word").groupBy("title", "e_stem").agg(F.count(F.lit(1)).alias("shared"))
     pairs = pairs.join(q_side, "title").join(stem_side, "e_stem").where("shared >= least(e_content, 2) or q_size < e_size or q_odd > 0")
     best = lambda word: F.aggregate(F.filter("opts", lambda o: o["word"] == word), F.lit(0.0), lambda acc, o: F.greatest(acc, o["sim"]))

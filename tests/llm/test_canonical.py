@@ -39,3 +39,27 @@ def test_neighbourhoods_meet(spark):
     assert {("mgaiciian", "magician", "edit"), ("teh", "the", "edit"), ("themagician", "the", "split"), ("themagician", "magician", "split"), ("magic", "magician", "prefix")} <= got
     assert not any(t == "zzz" for t, _, _ in got)
     assert words.where(F.col("word") == "x").count() == 0
+
+
+def test_long_words_are_joined_exactly(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(n)) for n in (23, 24, 25, 26, 27, 30, 49, 60, 90, 200)]
+
+    def edit(w, kinds):
+        for k in kinds:
+            i = rng.randrange(1, len(w) - 2)
+            w = w[:i] + w[i + 1 :] if k == "cut" else w[:i] + "x" + w[i:] if k == "add" else w[:i] + "y" + w[i + 1 :] if k == "put" else w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+        return w
+
+    typed = {edit(w, rng.choices(["cut", "add", "put", "swap"], k=rng.randint(0, 3))) for w in words for _ in range(12)}
+    got = {(r.token, r.word) for r in canonical.repairs(spark.createDataFrame([(t,) for t in typed], "token string"), spark.createDataFrame([(w,) for w in words], "word string")).where("kind = 'edit'").collect()}
+    assert got == {(t, w) for t in typed for w in words if canonical.osa(t, w) <= 2}
+
+
+def test_entries_of_frequent_words(spark):
+    """Every word is in most entries: the rarest of each still finds it."""
+    entries = spark.createDataFrame([(i, k, None, None, None) for i, k in enumerate(["old house", "old river", "house river", "old house river"] * 2)], "entry_id long, key string, year int, kind string, rank double")
+    typed = spark.createDataFrame([("old houze", None, None), ("house river", None, None)], "title string, year int, kind string")
+    assert {r.title: r.entry_id for r in canonical.match_titles(typed, entries).collect()} == {"old houze": 0, "house river": 2}
