@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import html
 import json
 import re
 import unicodedata
@@ -52,10 +53,16 @@ def spoken_words(text: F.Column) -> F.Column:
     return F.array_join(F.regexp_extract_all(out, F.lit(r"([a-z']+)"), F.lit(1)), " ")
 
 
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """Character references, named and numbered, as the characters."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def clean_card(text: F.Column) -> F.Column:
-    """A subtitle card's text without tags, style codes, notes and outer dashes."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ""), r"\{[^}]*\}", "")
-    return F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(bare, "[♪♫]", " "), r"\s+", " ")), r"^[-–—\s]+|[-–—\s]+$", "")
+    """A subtitle card's text without tags and style codes, its entities read, without notes and outer dashes."""
+    bare = unescape(F.regexp_replace(text, r"<[^>]+>|\{\\[^}]+\}", ""))
+    return F.regexp_replace(F.regexp_replace(F.replace(bare, F.lit("♪"), F.lit(" ")), r"(?U)\s+", " "), r"^[-–— ]+|[-–— ]+$", "")
 
 
 def count_words(text: F.Column) -> F.Column:
@@ -112,10 +119,11 @@ def clock(ms: F.Column, mark: str = ",") -> F.Column:
 
 
 def clock_ms(text: F.Column) -> F.Column:
-    """HH:MM:SS,mmm or HH:MM:SS.mmm as milliseconds; null for anything else."""
-    p = r"^\s*(\d{1,2}):(\d{2}):(\d{2})[,.](\d{3})\s*$"
-    g = lambda i: F.regexp_extract(text, p, i).cast("bigint")
-    return F.when(text.rlike(p), ((g(1) * 60 + g(2)) * 60 + g(3)) * 1000 + g(4))
+    """HH:MM:SS with one to three digits of a fraction behind a comma or a stop, as milliseconds; null for anything else."""
+    p = r"^\s*(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})\s*$"
+    g = lambda i: F.regexp_extract(text, p, i)
+    whole = (g(1).cast("bigint") * 60 + g(2).cast("bigint")) * 60 + g(3).cast("bigint")
+    return F.when(text.rlike(p), whole * 1000 + F.rpad(g(4), 3, "0").cast("bigint"))
 
 
 @F.pandas_udf(StringType())
