@@ -19,14 +19,23 @@ def rhythm_scores(spark, sf_dir):
 
 
 def nearest_variant(spark, sf_dir):
-    """For each event the nearest earlier one of its user as a voice variant: value as pitch, the key as brightness."""
+    """For each event the voice variant of its user that is nearest: value as pitch, the key as brightness.
+
+    A user's variants are the first four views, the first of them canonical. Null stands for the canonical one: without
+    a pitch, without other variants, where the canonical one is less than 1.5 further away, or where it has no pitch and
+    the nearest is more than 4 away.
+    """
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", F.try_variant_get(F.try_parse_json("props"), "$.k", "double").alias("k"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    p = e.select("event_id", "value", "k", *[F.struct(F.lag("event_id", i).over(w).alias("id"), F.lag("value", i).over(w).alias("v"), F.lag("k", i).over(w).alias("k")).alias(f"c{i}") for i in (1, 2, 3)])
-    one = p.select("event_id", "value", "k", F.explode(F.array("c1", "c2", "c3")).alias("c")).where("c.id is not null")
+    v = table(spark, sf_dir, "events").where("event_type = 'view'").withColumn("rn", F.row_number().over(w)).where("rn <= 4")
+    v = v.select("user_id", "rn", F.col("event_id").alias("variant"), F.col("value").alias("v"), F.try_variant_get(F.try_parse_json("props"), "$.k", "double").alias("vk"))
     none = F.lit(0.0)
-    d = milli(ev.voice_distance(F.col("value"), F.col("c.v"), F.col("k"), F.col("c.k"), none, none))
-    return one.groupBy("event_id").agg(F.min(F.struct(d.alias("d"), F.col("c.id").alias("i"))).alias("m")).select("event_id", F.col("m.i").alias("variant_id"), F.col("m.d").alias("distance_milli"))
+    d = milli(ev.voice_distance(F.col("value"), F.col("v"), F.col("k"), F.col("vk"), none, none))
+    pairs = e.join(v, "user_id").where("value > 0").withColumn("d", d)
+    g = pairs.groupBy("event_id").agg(F.min(F.when(F.col("rn") > 1, F.struct("d", "rn", "variant"))).alias("m"), F.min(F.when((F.col("rn") == 1) & (F.col("v") > 0), F.col("d"))).alias("own"))
+    taken = F.when(F.col("own").isNull(), F.col("m.d") <= 4000).otherwise(F.col("m.d") <= F.col("own") - 1500)
+    got = g.where("m is not null").select("event_id", F.when(taken, F.col("m.variant")).alias("variant_id"), F.when(taken, F.col("m.d")).alias("distance_milli"))
+    return e.select("event_id").join(got, "event_id", "left")
 
 
 def incoherent_lines(spark, sf_dir):
@@ -114,9 +123,11 @@ QUERIES = {
 _FOLD = "case when abs(log2(value / m)) <= abs(log2(value * 2 / m)) and abs(log2(value / m)) <= abs(log2(value / 2 / m)) then value when abs(log2(value * 2 / m)) <= abs(log2(value / 2 / m)) then value * 2 else value / 2 end"
 SQL = {
     "rhythm_scores": f"with {sql_cues('english')} select job_id, cue_id, {_M.format('greatest(cast(0 as double), 1 - abs(len(regexp_extract_all(english, $$[,;:—…]$$)) + (length(english) - length(replace(english, $$...$$, $$$$))) / 3 - 1) / 4)')} as rhythm_milli from c where english is not null",
-    "nearest_variant": f"""with e as (select event_id, user_id, ts, value, cast(json_extract(props, '$.k') as double) as k from events), p as (select event_id, value, k, unnest([1, 2, 3]) as i, [lag(event_id, 1) over w, lag(event_id, 2) over w, lag(event_id, 3) over w] as ids, [lag(value, 1) over w, lag(value, 2) over w, lag(value, 3) over w] as vs, [lag(k, 1) over w, lag(k, 2) over w, lag(k, 3) over w] as ks from e window w as (partition by user_id order by ts, event_id)),
-d as (select event_id, ids[i] as id, {_M.format("case when value > 0 and vs[i] > 0 then abs(12 * log2(value / vs[i])) else 0 end + case when k > 0 and ks[i] > 0 then 2 * abs(log2(k / ks[i])) else 0 end")} as d from p where ids[i] is not null)
-select event_id, min({{'d': d, 'i': id}}).i as variant_id, min({{'d': d, 'i': id}}).d as distance_milli from d group by event_id""",
+    "nearest_variant": f"""with e as (select event_id, user_id, value, cast(json_extract(props, '$.k') as double) as k from events), r as (select user_id, event_id as variant, value as v, cast(json_extract(props, '$.k') as double) as vk, row_number() over (partition by user_id order by ts, event_id) as rn from events where event_type = 'view'),
+p as (select e.event_id, rn, variant, v, {_M.format("case when v > 0 then abs(12 * log2(value / v)) else 0 end + case when k > 0 and vk > 0 then 2 * abs(log2(k / vk)) else 0 end")} as d from e join r on e.user_id = r.user_id and rn <= 4 where value > 0),
+o as (select event_id, min(d) as own from p where rn = 1 and v > 0 group by 1), b as (select *, row_number() over (partition by event_id order by d, rn) as best from p where rn > 1),
+t as (select b.event_id, variant, d from b left join o on b.event_id = o.event_id where best = 1 and case when own is null then d <= 4000 else d <= own - 1500 end)
+select e.event_id, variant as variant_id, d as distance_milli from e left join t on e.event_id = t.event_id""",
     "incoherent_lines": f"""with g as (select * from events where value >= 1), m as (select user_id, median(value) as m from g group by 1 having count(*) >= 3), f as (select g.user_id, event_id, {_FOLD} as f from g join m on g.user_id = m.user_id),
 s as (select user_id, 12 * log2(max(f) / min(f)) as s, median(f) as fm from f group by 1) select f.user_id, event_id from f join s on f.user_id = s.user_id where s > 8 and abs(12 * log2(f / fm)) > 4""",
     "verdict_assembly": f"{_WITH} select job_id, cue_id, case when not (tc is not null and english is not null) then 'unsure' when coalesce(status = 'review', true) then 'failed' when ac is null or (tc + cast(0.2 as double) >= 0.78 and ac >= 0.85) then 'passed' else 'failed' end as verdict from x",

@@ -107,14 +107,15 @@ def jobs_with_cues(spark, sf_dir):
 
 
 def streamed_sessions(spark, sf_dir):
-    """Sessions of events by user with a pause of an hour, by the streaming form; the last ones wait for the watermark."""
+    """Sessions of events by user with a pause of an hour, by the streaming form; a marker row closes the replay, so none is left open."""
     import uuid
 
     base = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex[:12]}"
     raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
-    s = windows.sessions(raw.withColumn("at", F.col("ts").cast("timestamp")), "user_id", "at", "1 hour", "10 minutes")
+    timed = windows.closed(raw.where("user_id is not null and ts is not null").select("user_id", F.col("ts").cast("timestamp").alias("at")), "at", f"{base}/end")
+    s = windows.sessions(timed, "user_id", "at", "1 hour", "10 minutes")
     windows.drain(s, f"{base}/out", f"{base}/state")
-    return spark.read.schema(s.schema).parquet(f"{base}/out").select("user_id", F.unix_micros("first").alias("first_us"), "n")
+    return spark.read.schema(s.schema).parquet(f"{base}/out").where("user_id is not null").select("user_id", F.unix_micros("first").alias("first_us"), "n")
 
 
 # What follows has no counterpart in the reference: relational work of Spark itself over the star schema.
@@ -162,6 +163,8 @@ _SIM = f"""with {_CENT}, vec as (select label, list(x order by pos) as c from ce
 s as (select vec_id, e.label, v.label as l, list_dot_product(cast(embedding as double[]), c) as s from embeddings e, vec v where e.label is not null),
 g as (select vec_id, label, max(case when l = label then s end) as own, max(case when l <> label then s end) as other, arg_max(l, s) as nearest from s group by 1, 2)"""
 SQL = {
+    "streamed_sessions": """with o as (select user_id, epoch_us(ts) as u, lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as p from events where user_id is not null and ts is not null), s as (select *, sum(case when p is null or u - p >= 3600000000 then 1 else 0 end) over (partition by user_id order by u rows unbounded preceding) as no from o)
+select user_id, min(u) as first_us, count(*) as n from s group by user_id, no""",
     "centroids": f"with {_CENT} select label, cast(pos - 1 as bigint) as pos, {_M.format('x')} as x_milli, n from cen",
     "own_vs_other_similarity": f"{_SIM} select vec_id, label, {_M.format('own')} as own_milli, {_M.format('other')} as other_milli, nearest from g",
     "outlier_flag": f"{_SIM} select vec_id, own < 0.40 or other > own + 0.05 as outlier, {_M.format('greatest(cast(0.35 as double), least(cast(0.95 as double), cast(0.60 as double) + cast(0.35 as double) * (own - other)))')} as confidence_milli from g",

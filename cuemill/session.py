@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -48,17 +50,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: `spark.checkpoint.dir`, or a folder of our own where that is unset."""
+    """This application's folder below `spark.checkpoint.dir`, which all executors see; on one machine a folder of our own where that is unset."""
+    app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/cuemill-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cuemill-")
+        own = tempfile.mkdtemp(prefix="cuemill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = "file://" + own
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder: once none of its results is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 

@@ -22,6 +22,14 @@ def once(events: DataFrame, keys: list[str], at: str, lateness: str) -> DataFram
     return events.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
 
 
+def closed(stream: DataFrame, at: str, folder: str, far: str = "9000-01-01") -> DataFrame:
+    """A bounded stream with a marker row in the far future, written to a folder: the watermark passes all the rest. All but its time is null in the marker."""
+    spark = stream.sparkSession
+    row = [(F.lit(far).cast("timestamp") if f.name == at else F.lit(None).cast(f.dataType)).alias(f.name) for f in stream.schema.fields]
+    spark.range(1).select(*row).coalesce(1).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
 def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Runs a stream over all that is there now and writes what it emits."""
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
