@@ -11,8 +11,10 @@ stop) gives its single-language stretches.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import exp
 from operator import mul
 
@@ -243,17 +245,38 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.5,
     return LangModel((emb @ weight.T).astype(np.float32), bias, temperature)
 
 
-def sample(lines: DataFrame, text: str, label: str, bound: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most `bound` lines with a label of a language handled, those with the smallest hashes of their text."""
-    good = lines.where(F.col(label).isin(LANGS) & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("l")).withColumn("h", F.xxhash64("t"))
-    rows = good.orderBy("h", "t", "l").limit(bound).collect()
-    return [r.t for r in rows], [r.l for r in rows]
-
+def quotas(counts: dict[str, int], bound: int) -> dict[str, int]:
+    """How many lines each language gives: all alike, but for those with fewer, whose share goes to the others."""
+    out, left, rest = {}, bound, sorted(counts, key=lambda k: (counts[k], k))
+    for i, lang in enumerate(rest):
+        out[lang] = min(counts[lang], left // (len(rest) - i))
+        left -= out[lang]
+    return out
 
-_MODELS: dict[int, LangModel] = {}
 
-
-def model_of(key: int, value: tuple) -> LangModel:
+def sample(lines: DataFrame, text: str, label: str, bound: int = SAMPLE) -> tuple[list[str], list[str]]:
+    """At most `bound` lines with a label of a language handled, of each language those with the smallest hashes of their text."""
+    good = lines.where(F.col(label).isin(LANGS) & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("l"))
+    counts = {r.l: r.n for r in good.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    want = quotas(counts, bound)
+    if not want:
+        return [], []
+    # A little more than is wanted comes by hash; what is over is cut here.
+    part = F.create_map(*[F.lit(x) for k in want for x in (k, min(1.0, (1.2 * want[k] + 200) / counts[k]))])[F.col("l")]
+    near = good.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 31))).where(F.col("h") < part * (1 << 31))
+    rows = sorted(near.collect(), key=lambda r: (r.h, r.t, r.l))  # about 1.2 x bound
+    out: dict[str, list[str]] = {k: [] for k in want}
+    for r in rows:
+        if len(out[r.l]) < want[r.l]:
+            out[r.l].append(r.t)
+    pairs = [(t, k) for k in LANGS if k in out for t in out[k]]
+    return [t for t, _ in pairs], [k for _, k in pairs]
+
+
+_MODELS: dict[str, LangModel] = {}
+
+
+def model_of(key: str, value: tuple) -> LangModel:
     """One model a worker, which keeps the scores of the words it has seen."""
     if key not in _MODELS:
         _MODELS.clear()
@@ -273,15 +296,17 @@ def identify(lines: DataFrame, keep: list[str], text: str, label: str, model: La
     without words, and one whose language can't be told have no segments. Repeated rows are each judged.
     """
     shared = lines.sparkSession.sparkContext.broadcast((model.scores, model.bias, model.temperature, model.cut))  # BUCKETS x 8 numbers, 2 MB
-    key = hash((model.scores.tobytes()[:4096], model.temperature, float(model.scores.sum())))
+    key = uuid.uuid4().hex  # a worker that lives on must not take another model for this one
     slim = lines.select(*keep, F.col(label).alias("_label"), F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-2]) + f", segments {SEGMENTS}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, make = model_of(key, shared.value), prepare() if prepare else (lambda t: t)
+        told = lambda t, lab: [dict(zip(("lang", "confidence", "first", "end"), s)) for s in m.stretches(make(t), lab)]
+        again = lru_cache(50_000)(told)  # lines recur
         for b in batches:
             texts, labels = b.column(b.num_columns - 1).to_pylist(), b.column(b.num_columns - 2).to_pylist()
-            got = [[dict(zip(("lang", "confidence", "first", "end"), s)) for s in m.stretches(make(t), lab)] for t, lab in zip(texts, labels)]
+            got = [again(t, lab) if t is None or len(t) < 400 else told(t, lab) for t, lab in zip(texts, labels)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(got, _SEGMENT)], names=[*b.schema.names[:-2], "segments"])
 
     return slim.mapInArrow(work, schema)

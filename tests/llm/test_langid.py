@@ -57,3 +57,10 @@ def test_rows(spark):
     assert got == [(1, ["en"]), (1, ["en"]), (2, []), (3, []), (4, ["ru"])]
     assert l.identify(df.limit(0), ["id"], "t", "label", MODEL).count() == 0
     assert l.sample(df, "t", "label", 1) == (["she says that you are lying"], ["de"])
+
+
+def test_sample_holds_every_language(spark):
+    assert langid.quotas({"en": 1000, "de": 5, "ja": 40}, 90) == {"de": 5, "ja": 40, "en": 45} and langid.quotas({}, 9) == {}
+    rows = [(f"line {i}", "en") for i in range(3000)] + [(f"zeile {i}", "de") for i in range(9)] + [("x", None), ("", "en")]
+    texts, labels = langid.sample(spark.createDataFrame(rows, "t string, l string"), "t", "l", 100)
+    assert len(texts) == 100 and labels.count("de") == 9 and set(texts) <= {r[0] for r in rows}
