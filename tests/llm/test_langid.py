@@ -60,6 +60,8 @@ def test_rows(spark):
 
 
 def test_sample_holds_every_language(spark):
+    from cuemill.llm import langid
+
     assert langid.quotas({"en": 1000, "de": 5, "ja": 40}, 90) == {"de": 5, "ja": 40, "en": 45} and langid.quotas({}, 9) == {}
     rows = [(f"line {i}", "en") for i in range(3000)] + [(f"zeile {i}", "de") for i in range(9)] + [("x", None), ("", "en")]
     texts, labels = langid.sample(spark.createDataFrame(rows, "t string, l string"), "t", "l", 100)
