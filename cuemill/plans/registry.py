@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["problem1", "interval_queries", "cue_queries", "text_queries", "vector_queries", "choice_queries", "evidence_queries", "inventory_queries"]
+MODULES = ["problem1", "interval_queries", "cue_queries", "text_queries", "vector_queries", "choice_queries", "evidence_queries", "inventory_queries", "inventory_more"]
 
 
 def collect(package: str, modules: list[str]) -> tuple[dict, dict]:

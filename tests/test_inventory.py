@@ -94,3 +94,26 @@ def test_gates(spark):
     history = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("b", 9, "z")], "k string, at int, v string")
     assert [(r.k, r.v) for r in gates.as_of(history, ["k"], "at", F.lit(6), ["v"]).collect()] == [("a", "y")]
     assert [(r.k, r.at) for r in gates.cached(history, ["k"], "v", F.lit("x"), "at").collect()] == [("a", 1)]
+
+
+def test_signals(spark):
+    import numpy as np
+
+    from cuemill.operators import signals
+
+    a, b = [0.1, 0.9, 0.4, 0.2], [0.2, 0.8, 0.5, 0.1]
+    df = spark.createDataFrame([(a, b, [0.5] * 4, [])], "a array<double>, b array<double>, f array<double>, e array<double>")
+    col = lambda c: df.select(c.alias("x")).first().x
+    assert np.isclose(col(signals.contour_similarity(F.col("a"), F.col("b"))), np.corrcoef(a, b)[0, 1]) and np.isclose(col(signals.contour_similarity(F.col("a"), F.col("f"))), 1 - np.abs(np.array(a) - 0.5).mean())
+    assert col(signals.contour_similarity(F.col("a"), F.col("e"))) is None and col(signals.rms(F.col("e"))) is None
+    assert np.allclose(col(signals.crossfade(F.col("f"), F.col("f"))), 0.5) and np.isclose(col(signals.leakage(F.col("a"), F.col("a"))), 1.0)
+    fit = col(signals.fit(F.lit(2.2), F.lit(2.0), 0.05))
+    assert np.isclose(fit.tempo, 1.05) and np.isclose(fit.truncated_ms, (2.2 / 1.05 - 2) * 1000) and not fit.ok
+    lines = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, -3.0])], "at int, s array<double>")
+    assert [round(r.value, 3) for r in signals.mixed(lines, "at", "s").orderBy("frame").collect()] == [0.327, 0.653, -0.98]
+    loops = signals.rounds(spark.createDataFrame([(9.0,), (1.0,), (100.0,), (None,)], "v double"), "v", lambda v: v > 3, lambda v: v / 2)
+    assert [(r.v, r.attempts) for r in loops.collect()] == [(2.25, 2), (1.0, 0), (12.5, 3), (None, 0)]
+    v = np.array([[1.0, 0], [0.99, 0.1], [1.0, 0.02], [0, 1.0], [0, 0]])
+    assert signals.one_identity([(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "z")], v)[:4] != [0, 0, 0, 1]
+    got = signals.one_identity([(0, "a"), (1, "a"), (1, "b"), (2, "z")], v[[0, 2, 3, 4]])
+    assert got[0] == got[1] != got[2] and got[3] == max(got)
