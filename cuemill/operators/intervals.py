@@ -91,8 +91,12 @@ def interval_periods(
     clean = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], start.alias("_start"), end.alias("_end"))
     last = clean.where("_start is not null and _end is not null and _end > _start").groupBy(*ks).agg(F.max("_end").alias("_last"))
     last = last.select(*[F.col(k).alias(f"c{k}") for k in ks], "_last")
-    w = Window.partitionBy(*ks).orderBy("_ge")
-    stepped = edges.select(*ks, "_ge", F.lead("_gs").over(w).alias("_next"), F.row_number().over(w).cast("bigint").alias("_no"))
+    # Edges are numbered and paired within slices; one row a slice carries the number before it and the first edge behind it.
+    packed = edges.select(*ks, F.floor(F.col("_ge") / slice_ms).alias("_slice"), F.struct("_ge", "_gs").alias("_x")).groupBy(*ks, "_slice").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    w = Window.partitionBy(*ks).orderBy("_slice")
+    slices = packed.withColumn("_behind", F.lead(F.element_at("_xs", 1)["_gs"]).over(w)).withColumn("_before", F.coalesce(F.sum(F.size("_xs")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    each = slices.select(*ks, "_behind", "_before", "_xs", F.posexplode("_xs").alias("_i", "_x"))
+    stepped = each.select(*ks, F.col("_x._ge").alias("_ge"), F.coalesce(F.get("_xs", F.col("_i") + 1)["_gs"], "_behind").alias("_next"), (F.col("_before") + F.col("_i") + 1).cast("bigint").alias("_no"))
     joined = stepped.join(last, [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in ks])
     return joined.select(
         *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)],
