@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -22,25 +27,68 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return rows.select(label, F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-12))).alias("centroid"), "n")
 
 
-#: At most so many labels are sent to all executors; beyond it the labels are joined by blocks.
-BROADCAST_LABELS = 10_000
+#: Centroids are set against the rows in blocks of about so many; one block is in memory at a time.
+BLOCK_LABELS = 10_000
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """Vectors as rows of doubles; NaN for null ones and those of another length."""
+    lengths = np.asarray(pc.list_value_length(column).fill_null(-1))
+    if len(column) and (lengths == size).all():
+        flat = column.flatten()
+        if flat.null_count == 0:
+            return np.asarray(flat, dtype=np.float64).reshape(-1, size)
+    rows = [np.asarray([np.nan if x is None else x for x in v], float) if v is not None and len(v) == size else np.full(size, np.nan) for v in column.to_pylist()]
+    return np.array(rows).reshape(-1, size)
 
 
 def against_all(df: DataFrame, cents: DataFrame, row_id: str, label: str, vector: str) -> DataFrame:
-    """row_id, label, own, other, nearest: cosine with the own centroid, the best other one and the label of the best.
+    """row_id, label, own, other, nearest: cosine with the own centroid, the best other one and the label of the best (the smallest of equals).
 
-    A stated table of centroids set against all rows, in blocks: few centroids go to every executor in one array;
-    more than BROADCAST_LABELS are cut into blocks by hash and each block meets all rows.
+    A stated table of centroids set against all rows, in blocks: a block of BLOCK_LABELS goes to every executor as one
+    matrix, and rows meet it as matrices too; with several blocks the answers of each row are put together.
     """
-    packed = cents.groupBy(F.pmod(F.xxhash64(label), F.lit(max(1, -(-cents.count() // BROADCAST_LABELS)))).alias("_block")).agg(F.collect_list(F.struct(F.col(label).alias("l"), "centroid")).alias("_c"))
-    pairs = df.select(row_id, label, vector).join(F.broadcast(packed), F.lit(True))  # BROADCAST_LABELS centroids a row of `packed`
-    sims = F.transform("_c", lambda c: F.struct(dot(F.col(vector), c["centroid"]).alias("s"), c["l"].alias("l")))
-    by = pairs.select(row_id, label, sims.alias("s"))
-    own = F.aggregate(F.filter("s", lambda x: x["l"] == F.col(label)), F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc, x["s"]))
-    other = F.array_max(F.transform(F.filter("s", lambda x: ~x["l"].eqNullSafe(F.col(label))), lambda x: x["s"]))
-    best = F.array_max(F.transform("s", lambda x: F.struct(x["s"].alias("s"), (-x["l"]).alias("l"))))
-    one = by.select(row_id, label, own.alias("own"), other.alias("other"), best.alias("best"))
-    return one.groupBy(row_id, label).agg(F.max("own").alias("own"), F.max("other").alias("other"), F.max("best").alias("b")).select(row_id, label, "own", "other", (-F.col("b.l")).alias("nearest"))
+    spark = df.sparkSession
+    blocks = max(1, -(-cents.count() // BLOCK_LABELS))
+    kind = df.schema[label].dataType
+    schema = T.StructType([df.schema[row_id], df.schema[label], *[T.StructField(n, T.DoubleType()) for n in ("own", "other", "best")], T.StructField("nearest", kind)])
+    names = [f.name for f in schema.fields]
+
+    def block(rows: list) -> DataFrame:
+        rows = sorted(rows, key=lambda r: r["l"])
+        shared = spark.sparkContext.broadcast(([r["l"] for r in rows], np.array([r["c"] for r in rows], float)))  # about BLOCK_LABELS vectors
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            labels, m = shared.value
+            at = {x: i for i, x in enumerate(labels)}
+            for b in batches:
+                n = b.num_rows
+                if not labels or not n:
+                    none = pa.nulls(n, pa.float64())
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), none, none, none, pa.nulls(n, b.schema.field(1).type)], names=names)
+                    continue
+                s = _matrix(b.column(2), m.shape[1]) @ m.T
+                mine = np.array([at.get(x, -1) for x in b.column(1).to_pylist()])
+                s = np.where(np.isnan(s), -np.inf, s)
+                top = s.argmax(axis=1)
+                best = s[np.arange(n), top]
+                own = np.where(mine >= 0, s[np.arange(n), np.maximum(mine, 0)], -np.inf)
+                s[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+                cols = [pa.array(x, pa.float64(), mask=np.isinf(x)) for x in (own, s.max(axis=1), best)]
+                near = pa.array([labels[i] if np.isfinite(v) else None for i, v in zip(top, best)], b.schema.field(1).type)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, near], names=names)
+
+        return df.select(row_id, label, vector).mapInArrow(work, schema)
+
+    every = cents.select(F.col(label).alias("l"), F.col("centroid").alias("c"), F.pmod(F.xxhash64(label), F.lit(blocks)).alias("b"))
+    parts = [block(every.where(F.col("b") == i).collect()) for i in range(blocks)]
+    if blocks == 1:
+        return parts[0].select(row_id, label, "own", "other", "nearest")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    first = F.min(F.when(F.col("best").isNotNull(), F.struct((-F.col("best")).alias("b"), F.col("nearest").alias("n"))))  # the best, then the smallest label
+    return out.groupBy(row_id, label).agg(F.max("own").alias("own"), F.max("other").alias("other"), first["n"].alias("nearest"))
 
 
 def agglomerate(vectors: np.ndarray, threshold: float) -> np.ndarray:

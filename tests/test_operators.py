@@ -69,3 +69,21 @@ def test_streaming_sessions_and_repeats(spark, tmp_path):
     assert got == [(1, 1), (1, 3), (2, 1)]  # the last session still waits
     windows.drain(windows.once(stream, ["u", "at"], "at", "1 hour"), out + "2", str(tmp_path / "cp2"))
     assert spark.read.parquet(out + "2").count() == 5
+
+
+def test_blocks_of_centroids(spark, monkeypatch):
+    from cuemill.operators import vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(i, f"l{i % 7}" if i % 11 else None, [float(x) for x in rng.normal(size=5)]) for i in range(80)] + [(900, "l1", None), (901, "zz", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, l string, v array<double>")
+    cents = vectors.centroids(df.where("size(v) = 5 and l is not null"), "l", "v").cache()
+    read = lambda: {r.id: (r.l, *[None if x is None else round(x, 9) for x in (r.own, r.other)], r.nearest) for r in vectors.against_all(df, cents, "id", "l", "v").collect()}
+    one = read()
+    monkeypatch.setattr(vectors, "BLOCK_LABELS", 2)
+    assert read() == one and len(one) == 82 and one[900] == ("l1", None, None, None)
+    m = {r.l: np.array(r.centroid) for r in cents.collect()}
+    for i, l, v in rows[:80]:
+        sims = {k: float(np.array(v) @ c) for k, c in m.items()}
+        assert one[i][3] == max(sims, key=lambda k: (sims[k], k)) and (one[i][1] is None) == (l is None)
+        assert np.isclose(one[i][2], max(x for k, x in sims.items() if k != l))
