@@ -172,6 +172,9 @@ r as (select *, lead(sc) over w as nx, row_number() over w as rn from s window w
     "media_duration": f"select job_id, {_M.format('max(greatest(coalesce(try_cast(regexp_extract(filename, $$([0-9]+)$$, 1) as double), 0), case when not isnan(duration_s) then duration_s else 0 end, 0))')} as ms from jobs where job_id is not null group by job_id",
     "parsed_season_episode": "select distinct name_id, season, episode from media_names where source is not null",
     "parsed_year": "select distinct name_id, media_year from media_names where source is not null",
+    "display_titles": r"""select distinct name_id, array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(title, '[._]+(\S)', ' \1', 'g'), '\s+'), lambda w: w <> ''), lambda w, i: case when w = upper(w) and w <> lower(w) and length(w) <= 5 then w
+when i > 1 and lower(w) in ("""
+    + ", ".join(f"'{x}'" for x in names.SMALL_WORDS) + """) then lower(w) else upper(w[1:1]) || w[2:] end), ' ') as display from media_names where title is not null""",
     "cue_search": f"with {sql_cues('source', 'english', 'speaker_name', 'status')} select job_id, cue_id, status from c where contains(lower(concat_ws(' ', english, source, speaker_name)), 'lighthouse') order by job_id, cue_id limit 500",
     "translation_selector": f"{_WITH} select job_id, cue_id, case when lower(coalesce(source_language, '')) in ('', 'english') then 'keep' when english is null or not regexp_matches(english, '[^\\s\\x{{a0}}\\x{{3000}}]') then 'translate' when status = 'review' then 'again' else 'done' end as action from x",
     "translation_fallback": f"with {sql_cues('source', 'english', 'speaker_name')} select job_id, cue_id, coalesce(" + ", ".join(f"case when regexp_matches({x}, '[^\\s\\x{{a0}}\\x{{3000}}]') then {x} end" for x in ('english', 'source', 'speaker_name')) + ") as line from c",

@@ -35,6 +35,19 @@ def created_visual_voices(spark, sf_dir):
     return lines.join(known, "job_id").select("job_id", "face", (F.col("known") + number).cast("bigint").alias("new_speaker_id"), milli(F.least(F.lit(0.86), 0.62 + 0.08 * F.col("n"))).alias("confidence_milli"))
 
 
+def face_margins(spark, sf_dir):
+    """The face that most likely speaks for each voice of a job, and how sure that is: motion (its 70th percentile), how often it is seen, its size (stood in for by its number) and its lead over the next one."""
+    s = table(spark, sf_dir, "face_sightings").where("speaker_id > 0 and active_face_id is not null and job_id is not null and active_speaker_confidence > 0 and not isnan(active_speaker_confidence)").select("sighting_id", "job_id", "speaker_id", F.col("active_face_id").alias("face_id"), "active_speaker_confidence", F.coalesce("mouth_visible", F.lit(False)).cast("int").alias("seen")).distinct()
+    g = s.groupBy("job_id", "speaker_id", "face_id").agg(F.expr("percentile(active_speaker_confidence, 0.7)").alias("motion"), F.avg("seen").alias("visible"), F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("area", 0.0008 * (1 + F.col("face_id") % 5)).withColumn("score", 0.05 * F.col("motion") * F.least(F.lit(1.0), F.col("visible") / 0.55) * F.least(F.lit(1.0), F.col("area") / 0.003))
+    w = Window.partitionBy("job_id", "speaker_id").orderBy(F.desc("score"), "face_id")
+    all_ = Window.partitionBy("job_id", "speaker_id")
+    r = g.withColumn("next", F.coalesce(F.lead("score").over(w), F.lit(0.0))).withColumn("single", F.col("n") / F.sum("n").over(all_)).withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    up = lambda x, full: F.least(F.lit(1.0), x / full)
+    sure = up(F.col("score"), 0.035) * up(F.col("score") - F.col("next"), 0.012) * up(F.col("visible"), 0.55) * up(F.col("single"), 0.60)
+    return r.select("job_id", "speaker_id", "face_id", milli(sure).alias("confidence_milli"), (milli(sure) >= 560).alias("active"), ((milli(sure) >= 560) & (F.col("visible") >= 0.55) & (F.col("area") >= 0.0012)).alias("mouth_visible"))
+
+
 def verification_budget(spark, sf_dir):
     """The 150 foreign lines whose reading can be trusted least, without an opinion yet, in the order of speech; a line no larger model was asked about counts as riskier."""
     x = _confident(spark, sf_dir).where("length(trim(source)) > 0 and l_end - l_start >= 350 and lower(coalesce(source_language, '')) not in ('', 'en', 'eng', 'english') and cue_id % 10 <> 0")
@@ -159,7 +172,7 @@ def document_fields(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
-        created_visual_voices, verification_budget, performance_parts, voice_similarities, dialogue_leakage, crossfaded, mixed_timeline, fitted_takes, corrected_lines, joined_identities, emotion_dispatch, sheet_lines, flagged_report, resolved_projects,
+        created_visual_voices, face_margins, verification_budget, performance_parts, voice_similarities, dialogue_leakage, crossfaded, mixed_timeline, fitted_takes, corrected_lines, joined_identities, emotion_dispatch, sheet_lines, flagged_report, resolved_projects,
         realigned_context, zipped_results, document_fields,
     ]
 }
@@ -173,6 +186,10 @@ SQL = {
 a as (select job_id, face from w group by 1, 2 having max(w) * 10 >= sum(w) * 6 and sum(w) > 0), f as (select * from v where mouth and vis >= 0.82 and (coalesce(sc, 0) < 0.62 or vis > coalesce(sc, 0) + 0.18e0) and not exists (select 1 from a where a.job_id = v.job_id and a.face = v.face)),
 g as (select job_id, face, count(*) as n, sum(l_end - l_start) as ms, min({{'s': l_start, 'c': cue_id}}) as first from f group by 1, 2 having count(*) >= 2 and sum(l_end - l_start) >= 650), k as (select job_id, max(coalesce(speaker_id, 0)) as known from x group by 1)
 select g.job_id, face, cast(known + row_number() over (partition by g.job_id order by first, face) as bigint) as new_speaker_id, {_M.format('least(0.86e0, 0.62e0 + 0.08e0 * n)')} as confidence_milli from g join k on g.job_id = k.job_id""",
+    "face_margins": f"""with s as (select distinct sighting_id, job_id, speaker_id, active_face_id as face_id, active_speaker_confidence as c, case when coalesce(mouth_visible, false) then 1 else 0 end as seen from face_sightings where speaker_id > 0 and active_face_id is not null and job_id is not null and active_speaker_confidence > 0 and not isnan(active_speaker_confidence)),
+g as (select job_id, speaker_id, face_id, quantile_cont(c, 0.7) as motion, avg(seen) as visible, count(*) as n, 0.0008e0 * (1 + face_id % 5) as area from s group by 1, 2, 3), z as (select *, 0.05e0 * motion * least(1e0, visible / 0.55e0) * least(1e0, area / 0.003e0) as score from g),
+r as (select *, coalesce(lead(score) over (partition by job_id, speaker_id order by score desc, face_id), 0) as nx, n / sum(n) over (partition by job_id, speaker_id) as single, row_number() over (partition by job_id, speaker_id order by score desc, face_id) as rn from z),
+k as (select *, {_M.format('least(1e0, score / 0.035e0) * least(1e0, (score - nx) / 0.012e0) * least(1e0, visible / 0.55e0) * least(1e0, single / 0.6e0)')} as m from r where rn = 1) select job_id, speaker_id, face_id, m as confidence_milli, m >= 560 as active, m >= 560 and visible >= 0.55e0 and area >= 0.0012e0 as mouth_visible from k""",
     "verification_budget": f"{_WITH}, r as (select job_id, cue_id, {_M.format('1 - coalesce(tc, 0) + case when cue_id % 3 = 0 then 0.35e0 else 0 end + greatest(0e0, 0.85e0 - coalesce(ac, 0))')} as risk_milli from x where length(trim(source)) > 0 and l_end - l_start >= 350 and lower(coalesce(source_language, '')) not in ('', 'en', 'eng', 'english') and cue_id % 10 <> 0) select * from r order by risk_milli desc, job_id, cue_id limit 150",
     "performance_parts": f"""with {_P}, {_L}, c as (select vec_id, corr(x, y) as r, stddev_pop(x) as sx, stddev_pop(y) as sy, avg(abs(x - y)) as m from i where k < 10 group by 1),
 z as (select q.vec_id, greatest(-1e0, least(1e0, case when sx > 0.03 and sy > 0.03 then r else 1 - m end)) as s, abs(abs(a[11]) - abs(b[11])) as pd, case when a[12] > 0 and b[12] > 0 then abs(12 * log2(b[12] / a[12])) end as off from q join c on q.vec_id = c.vec_id)
