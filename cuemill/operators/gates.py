@@ -114,6 +114,20 @@ def alignment_confidence(words: DataFrame, group: list[str], start: str, end: st
     return rows.groupBy(*group).agg(a.alias("alignment")).withColumn("transcription", 0.55 + 0.35 * F.col("alignment"))
 
 
+def agreed_windows(primary: DataFrame, higher: DataFrame, group: list[str], text: str, alignment: str, order: list[str]) -> DataFrame:
+    """Rows (group, order, side, agreement, confidence) of one whole side of each window that both have read.
+
+    The higher model's side is taken if it is aligned better by .03, or no worse than by .05 where both agree to .72;
+    agreement is that of the texts' letters and digits in order. Windows of one side alone are left out: they stay as they are.
+    """
+    packed = lambda df, p: df.groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("t")))), lambda r: r["t"]), "").alias(f"{p}_t"), F.avg(F.coalesce(alignment, F.lit(0.0))).alias(f"{p}_a"))
+    both = packed(primary, "p").join(packed(higher, "h"), group).withColumn("agreement", F.coalesce(sequence_ratio(comparable("p_t"), comparable("h_t")), F.lit(0.0)))
+    take = (F.col("h_a") >= F.col("p_a") + 0.03) | ((F.col("agreement") >= 0.72) & (F.col("h_a") >= F.col("p_a") - 0.05))
+    chosen = both.select(*group, "agreement", F.when(take, "higher").otherwise("primary").alias("side"))
+    rows = primary.select(*group, *order, F.col(alignment).alias("_a"), F.lit("primary").alias("side")).unionByName(higher.select(*group, *order, F.col(alignment).alias("_a"), F.lit("higher").alias("side")))
+    return rows.join(chosen, [*group, "side"]).select(*group, *order, "side", "agreement", F.least(F.lit(1.0), 0.46 * F.coalesce("_a", F.lit(0.0)) + 0.34 * F.col("agreement") + 0.20 * 0.92).alias("confidence"))
+
+
 def running_batches(rows: DataFrame, group: str, order: list[str], size: str, items: int, total: int) -> DataFrame:
     """rows with batch_no: a new batch where one has `items` rows or would exceed `total`; the fold carries two numbers and runs in the JVM over the group's sizes in order."""
     ids = [c for c in rows.columns if c not in (group, size)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions import text as t
 from cuemill.functions.text import normalize_title
-from cuemill.operators import signals
+from cuemill.operators import gates, signals
 from cuemill.operators.overlap import milli, overlap_pairs
 from cuemill.plans.cue_queries import _M, _WITH, _confident
 from cuemill.plans.inventory_queries import _REASONED, _SEEN, _seen, review_reasons
@@ -162,6 +162,13 @@ def zipped_results(spark, sf_dir):
     return c.select("job_id", "cue_id", "no").join(ends, ["job_id", "no"], "left").select("job_id", "cue_id", F.col("no").cast("bigint").alias("no"), "result")
 
 
+def agreed_windows(spark, sf_dir):
+    """Minutes of a job read twice (first readings, and edited ones as those of a higher model): one side of each, and its lines' confidence. Matching blocks in Python."""
+    x = _confident(spark, sf_dir).withColumn("minute", F.floor(F.col("l_start") / 60_000))
+    got = gates.agreed_windows(x.where("status = 'done'"), x.where("status in ('edited', 'voiced')"), ["job_id", "minute"], "source", "ac", ["l_start", "cue_id"])
+    return got.select("job_id", "minute", "cue_id", "side", milli(F.col("agreement")).alias("agreement_milli"), milli(F.col("confidence")).alias("confidence_milli"))
+
+
 def document_fields(spark, sf_dir):
     """Fields of stored documents, nested ones among them, out of their JSON."""
     j = table(spark, sf_dir, "jobs").where("job_id is not null").select(F.to_json(F.struct("job_id", "filename", "status", "stage", "media_kind", F.struct("source_language", "control").alias("options"))).alias("d")).distinct()
@@ -173,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         created_visual_voices, face_margins, verification_budget, performance_parts, voice_similarities, dialogue_leakage, crossfaded, mixed_timeline, fitted_takes, corrected_lines, joined_identities, emotion_dispatch, sheet_lines, flagged_report, resolved_projects,
-        realigned_context, zipped_results, document_fields,
+        realigned_context, zipped_results, agreed_windows, document_fields,
     ]
 }
 

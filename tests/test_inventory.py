@@ -117,3 +117,12 @@ def test_signals(spark):
     assert signals.one_identity([(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "z")], v)[:4] != [0, 0, 0, 1]
     got = signals.one_identity([(0, "a"), (1, "a"), (1, "b"), (2, "z")], v[[0, 2, 3, 4]])
     assert got[0] == got[1] != got[2] and got[3] == max(got)
+
+
+def test_agreed_windows(spark):
+    row = "g string, i int, t string, a double"
+    p = spark.createDataFrame([("a", 1, "it is", 0.8), ("a", 2, "late", 0.8), ("b", 1, "boat", 0.8), ("c", 1, "same", 0.8), ("d", 1, "x", None)], row)
+    h = spark.createDataFrame([("a", 1, "it is late", 0.76), ("b", 1, "house", 0.79), ("c", 1, "else", 0.84), ("e", 1, "y", 1.0)], row)
+    got = {(r.g, r.i): (r.side, round(r.agreement, 3), round(r.confidence, 4)) for r in gates.agreed_windows(p, h, ["g"], "t", "a", ["i"]).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("a", 1): "higher", ("b", 1): "primary", ("c", 1): "higher"}
+    assert got["a", 1][1:] == (1.0, round(0.46 * 0.76 + 0.34 + 0.184, 4)) and got["b", 1][1] < 0.72
