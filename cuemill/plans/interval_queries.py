@@ -90,7 +90,8 @@ def allocate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     550 ms is made 620 ms long; it ends 30 ms before the next line, but never before the cue itself.
     """
     c = cues(spark, sf_dir)
-    w = Window.partitionBy("job_id").orderBy("l_start").rangeBetween(21, Window.unboundedFollowing)
+    # Latest first: a frame that only grows is summed up once, one that shrinks is read anew for each row.
+    w = Window.partitionBy("job_id").orderBy(F.desc("l_start")).rangeBetween(Window.unboundedPreceding, -21)
     following = c.withColumn("next_ms", F.min("l_start").over(w))
     wanted = F.col("l_end") + 1200
     wanted = F.when(wanted - F.col("l_start") < 550, F.col("l_start") + 620).otherwise(wanted)
