@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cuemill.functions.text import comparable, sequence_ratio
 from cuemill.operators.rules import missing, or_else
@@ -129,18 +130,28 @@ def agreed_windows(primary: DataFrame, higher: DataFrame, group: list[str], text
 
 
 def running_batches(rows: DataFrame, group: str, order: list[str], size: str, items: int, total: int) -> DataFrame:
-    """rows with batch_no: a new batch where one has `items` rows or would exceed `total`; the fold carries two numbers and runs in the JVM over the group's sizes in order."""
-    ids = [c for c in rows.columns if c not in (group, size)]
-    packed = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(size).alias("_z"), *[c for c in ids if c not in order]))).alias("_r"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("t"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= items) | (acc["t"] + r["_z"] > total))
-        no = F.when(full, acc["no"] + 1).otherwise(acc["no"])
-        return F.struct(no.alias("no"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, r["_z"].cast("bigint")).otherwise(acc["t"] + r["_z"]).alias("t"), F.concat(acc["out"], F.array(no)).alias("out"))
-
-    numbered = packed.withColumn("_b", F.aggregate("_r", start, step, lambda acc: acc["out"]))
-    return numbered.select(group, F.explode(F.arrays_zip("_r", "_b")).alias("x")).select(group, *[f"x._r.{c}" for c in order], *[f"x._r.{c}" for c in ids if c not in order], F.col("x._r._z").alias(size), F.col("x._b").cast("bigint").alias("batch_no"))
+    """rows with batch_no: a new batch where one has `items` rows or would exceed `total`; the fold carries two numbers over the rows as they come in order, so a group may be of any length."""
+    others = [c for c in rows.columns if c not in (group, size, *order)]
+
+    def numbered(batches):
+        import pyarrow as pa
+
+        last, no, n, t = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for g, z in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if g != last and not (g != g and last != last):  # NaN is one group
+                    last, no, n, t = g, 0, 0, 0
+                known = t is not None and z is not None
+                if n and (n >= items or (known and t + z > total)):
+                    no, n, t = no + 1, 1, z
+                else:
+                    n, t = n + 1, t + z if known else None
+                out.append(no)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "batch_no"])
+
+    placed = rows.select(group, *order, *others, size).repartition(group).sortWithinPartitions(group, *order, size, *others)
+    return placed.mapInArrow(numbered, StructType([*placed.schema.fields, StructField("batch_no", LongType())]))
 
 
 def apply_edits(lines: DataFrame, edits: DataFrame, key: list[str], group: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from bisect import bisect_left
 
+from cuemill.operators import gates
 from cuemill.plans import interval_queries
 
 
@@ -26,3 +27,22 @@ def test_windows_of_a_long_job(spark, monkeypatch):
     assert sorted(map(tuple, query.collect()), key=repr) == sorted(want, key=repr)
     # A frame that reaches to the end of its job is read anew for each row.
     assert "unboundedfollowing$" not in query._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_batches_of_a_long_job(spark):
+    rng = random.Random(5)
+    rows = [(job, i, rng.choice([None, *range(1, 120)]) if job == "gaps" else rng.randint(1, 500)) for job, n in (("long", 25_000), ("short", 40), ("gaps", 300), (None, 9)) for i in range(n)]
+    query = gates.running_batches(spark.createDataFrame(rng.sample(rows, len(rows)), "g string, i long, z int").repartition(5), "g", ["i"], "z", 6, 400)
+    want, last = [], ""
+    for g, i, z in rows:
+        if g != last:
+            last, no, n, t = g, 0, 0, 0
+        # What isn't known to exceed goes into the batch.
+        if n == 6 or (n and None not in (t, z) and t + z > 400):
+            no, n, t = no + 1, 0, 0
+        n, t = n + 1, None if None in (t, z) else t + z
+        want.append((g, i, z, no))
+    assert query.columns == ["g", "i", "z", "batch_no"] and dict(query.dtypes)["batch_no"] == "bigint"
+    assert sorted(map(tuple, query.collect()), key=repr) == sorted(want, key=repr)
+    # An array that a fold makes longer by one is copied for each row.
+    assert "aggregate(" not in query._jdf.queryExecution().optimizedPlan().toString().lower()
