@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def gap_duration_groups(rows: list[tuple[int, int, bool]], gap: int, longest: int, sentence: int) -> list[int]:
@@ -45,17 +46,38 @@ def parts(df: DataFrame, keys: list[str], start: str, end: str, pause: int) -> D
 
 
 def group_by_gap_and_duration(df: DataFrame, keys: list[str], start: str, end: str, stop: str, gap: int = 620, longest: int = 10_000, sentence: int = 700) -> DataFrame:
-    """keys, group_no, start_ms, end_ms, rows. keys must bound a group: here a job, a speaker and a part of parts()."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end, stop])
-        pdf = pdf.assign(group_no=gap_duration_groups(list(zip(pdf[start], pdf[end], pdf[stop])), gap, longest, sentence))
-        g = pdf.groupby([*keys, "group_no"], dropna=False, sort=True).agg(start_ms=(start, "min"), end_ms=(end, "max"), rows=(start, "size")).reset_index()
-        return g[[*keys, "group_no", "start_ms", "end_ms", "rows"]]
-
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", group_no long, start_ms long, end_ms long, rows long"
-    return df.select(*keys, start, end, stop).groupBy(*keys).applyInPandas(one, schema)
+    """keys, group_no, start_ms, end_ms, rows, by the rule of gap_duration_groups. keys must bound a group: here a job, a speaker and a part of parts(). Folded over the rows as they come in order, so tiny parts cost no call each and long ones no memory."""
+    placed = df.select(*keys, start, end, stop).repartition(*keys).sortWithinPartitions(*keys, start, end, stop)
+    schema = StructType([*placed.schema.fields[: len(keys)], *[StructField(n, LongType()) for n in ("group_no", "start_ms", "end_ms", "rows")]])
+
+    def fold(batches):
+        import pyarrow as pa
+
+        types, done = None, []
+        key, number, begun, latest, last, stopped, rows = None, 0, 0, 0, 0, False, 0
+
+        def told() -> pa.RecordBatch:
+            columns = [list(x) for x in zip(*done)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], schema.fieldNames())
+
+        for b in batches:
+            types = types or [*b.schema.types[: len(keys)], *[pa.int64()] * 4]
+            *ks, starts, ends, stops = (c.to_pylist() for c in b.columns)
+            for k, s, e, stop_ in zip(zip(*ks), starts, ends, stops):
+                if not rows or k != key or s - last > gap or last - begun > longest or (stopped and last - begun > sentence):
+                    if rows:
+                        done.append((*key, number, begun, latest, rows))
+                    number = number + 1 if rows and k == key else 1
+                    key, begun, latest, rows = k, s, e, 0
+                latest, last, stopped, rows = max(latest, e), e, stop_, rows + 1
+            if done:
+                yield told()
+        if rows:
+            done.append((*key, number, begun, latest, rows))
+            yield told()
+
+    return placed.mapInArrow(fold, schema)
 
 
 def merge_windows(df: DataFrame, keys: list[str], start: str, end: str, pad: int = 650, gap: int = 3_000, longest: int = 180_000) -> DataFrame:

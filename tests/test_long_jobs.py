@@ -3,8 +3,8 @@
 import random
 from bisect import bisect_left
 
-from cuemill.operators import gates
-from cuemill.plans import interval_queries
+from cuemill.operators import folds, gates
+from cuemill.plans import interval_queries, vector_queries
 
 
 def test_windows_of_a_long_job(spark, monkeypatch):
@@ -46,3 +46,34 @@ def test_batches_of_a_long_job(spark):
     assert sorted(map(tuple, query.collect()), key=repr) == sorted(want, key=repr)
     # An array that a fold makes longer by one is copied for each row.
     assert "aggregate(" not in query._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_sessions_of_many_parts(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for job, n, pauses in (("long", 4000, [0, 300, 620, 621, 5000]), ("sparse", 600, [30_000, 30_001, 40_000]), ("short", 5, [100])):
+        at = 0
+        for i in range(n):
+            at += rng.choice(pauses) - (900 if rng.random() < 0.2 else 0)
+            rows.append((job, i, at, at + rng.randint(1, 2500), rng.randint(-1, 2), rng.choice(["a.", "b", None])))
+            at = rows[-1][3]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "job_id string, cue_id long, l_start long, l_end long, speaker_id int, source string").repartition(5)
+    monkeypatch.setattr(vector_queries, "cues", lambda spark, sf_dir, *more: df)
+    query = vector_queries.gap_duration_sessions(spark, "")
+    want = []
+    for job, speaker in {(r[0], r[4]) for r in rows if r[4] > 0}:
+        parts: dict = {}
+        part, latest = 0, None
+        for s, e, stop in sorted((r[2], r[3], r[5] == "a.") for r in rows if (r[0], r[4]) == (job, speaker)):
+            part += latest is not None and s - latest > 30_000
+            latest = e if latest is None else max(latest, e)
+            parts.setdefault(part, []).append((s, e, stop))
+        for part, mine in parts.items():
+            groups: dict = {}
+            for row, no in zip(mine, folds.gap_duration_groups(mine, 620, 10_000, 700)):
+                groups.setdefault(no, []).append(row)
+            want += [(job, speaker, part, no, min(r[0] for r in g), max(r[1] for r in g), len(g)) for no, g in groups.items()]
+    assert query.dtypes == [("job_id", "string"), ("speaker_id", "int"), ("part", "bigint"), ("group_no", "bigint"), ("start_ms", "bigint"), ("end_ms", "bigint"), ("rows", "bigint")]
+    assert sorted(map(tuple, query.collect())) == sorted(want)
+    # A call of Python for each part costs more than the part.
+    assert "flatmapgroups" not in query._jdf.queryExecution().optimizedPlan().toString().lower()
